@@ -87,7 +87,7 @@ def with_next(docs: DataFrame, buckets_per_partition: int = 8) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), text_or_empty().alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.select("key").repartitionByRange(partitions * buckets_per_partition, "key")
-    bounds = np.array(sorted(r[0] for r in ranged.groupBy(F.spark_partition_id()).agg(F.min("key")).collect()), np.int64)
+    bounds = np.array(sorted(r["least"] for r in ranged.groupBy(F.spark_partition_id()).agg(F.min("key").alias("least")).collect()), np.int64)
 
     @F.pandas_udf("int")
     def bucket_of(key: pd.Series) -> pd.Series:
