@@ -64,7 +64,8 @@ def fingerprint(text: str, bins: int = BINS, bits: int = BITS, k: int = SHINGLE)
     minima = bin_minima(shingle_hashes(word_hashes(text), k), bins)
     if minima is None:
         return ""
-    low = (mix(minima) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    # hashed anew with the bin's number, so that bins filled with one hash differ from those of another text one by one
+    low = (mix(minima ^ mix(np.arange(1, bins + 1, dtype=np.uint64))) & np.uint64((1 << bits) - 1)).astype(np.uint8)
     return base64.b64encode(np.packbits(np.unpackbits(low[:, None], axis=1)[:, 8 - bits :]).tobytes()).decode()
 
 

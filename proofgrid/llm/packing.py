@@ -76,20 +76,23 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-def recipes(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def recipes(histogram: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Combinations to use and how often, never more heads than the histogram has of any length.
 
-    The least-squares counts are rounded down, then scaled back where a length would still lack heads.
+    The least-squares counts are scaled down where they ask for more heads of a length than are left, and rounded down;
+    what remains of the histogram is solved again until a round uses little.
     """
-    table = combinations(len(histogram) + 1)
-    counts = np.floor(nnls(table.T.astype(float), histogram.astype(float)) + 1e-9).astype(np.int64)
-    order = np.argsort(-counts, kind="stable")
-    left = histogram.astype(np.int64).copy()
-    for k in order:
-        own = table[k] > 0
-        counts[k] = min(counts[k], int((left[own] // table[k][own]).min()))
-        left -= counts[k] * table[k]
-    return table[counts > 0], counts[counts > 0]
+    table, left = combinations(len(histogram) + 1), histogram.astype(np.int64).copy()
+    total = np.zeros(len(table), np.int64)
+    for _ in range(rounds):
+        wanted = nnls(table.T.astype(float), left.astype(float))
+        held = np.minimum(1.0, left / np.maximum(wanted @ table, 1e-9))
+        counts = np.floor(wanted * np.where(table > 0, held, 1.0).min(axis=1) + 1e-9).astype(np.int64)
+        left -= counts @ table
+        total += counts
+        if counts.sum() * 1000 <= total.sum():
+            break
+    return table[total > 0], total[total > 0]
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str | None = None, vocabulary: int = VOCABULARY, end_id: int = END_ID) -> DataFrame:
