@@ -19,7 +19,7 @@ END_ID = 2
 class WordTokenizer:
     """Holds the ids of words seen lately; when there are more than `most`, it starts anew."""
 
-    def __init__(self, path: str | None = None, most: int = 300_000):
+    def __init__(self, path: str | None = None, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -33,31 +33,42 @@ class WordTokenizer:
         self.flat, self.starts, self.counts = array("I"), array("q"), array("q")
 
     def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            for word, found in zip(some, self.tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                self.place[word] = len(self.starts)
-                self.starts.append(len(self.flat))
-                ids = found.ids
-                self.counts.append(len(ids))
-                self.flat.extend(ids)
+        """Encodes new words in one text, and deals its ids out to them by their offsets."""
+        texts = [w.decode("utf-8") for w in words]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = found.ids
+        counts = np.zeros(len(words), np.int64)
+        if ids:
+            firsts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+            counts += np.bincount(np.searchsorted(starts, firsts, "right") - 1, minlength=len(words))
+        begin = len(self.flat) + np.cumsum(counts) - counts
+        at = len(self.counts)
+        self.place.update(zip(words, range(at, at + len(words)), strict=True))
+        self.starts.frombytes(begin.tobytes())
+        self.counts.frombytes(counts.tobytes())
+        self.flat.extend(ids)
 
     def encode(self, text: str, end_id: int | None = END_ID) -> np.ndarray:
         """The ids of the whole text as uint32, with end_id appended."""
-        words = text.encode("utf-8", "replace").split()
+        raw = text.encode("utf-8", "replace")
+        # the tokenizer lowers every character by itself; special tokens are matched before that
+        words = raw.split() if b"<|" in raw else raw.lower().split()
         if len(self.place) > self.most:
             self.forget()
-        if new := set(words) - self.place.keys():
-            self.learn(sorted(new))
-        tail = [] if end_id is None else [end_id]
-        if not words:
-            return np.array(tail, np.uint32)
-        place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        place = list(map(self.place.get, words))
+        if None in place:
+            self.learn(list({w for w, k in zip(words, place, strict=True) if k is None}))
+            place = list(map(self.place.get, words))
+        tail = np.array([] if end_id is None else [end_id], np.uint32)
+        if not words or not len(self.flat):
+            return tail
+        place = np.array(place, np.int64)
         counts, starts = np.frombuffer(self.counts, np.int64)[place], np.frombuffer(self.starts, np.int64)[place]
         ends = np.cumsum(counts)
         at = np.arange(int(ends[-1])) + np.repeat(starts - ends + counts, counts)
-        ids = np.frombuffer(self.flat, np.uint32)[at] if len(self.flat) else np.zeros(0, np.uint32)
-        return np.append(ids, np.array(tail, np.uint32)).astype(np.uint32, copy=False)
+        return np.append(np.frombuffer(self.flat, np.uint32)[at], tail)
 
 
 _shared: dict[str | None, WordTokenizer] = {}
