@@ -18,7 +18,7 @@ HASHES = ("md5", "sha1", "sha256")
 def freshness(seen: Column, now: dt.datetime, half_life_days: float = 30.0) -> Column:
     """exp(-ln 2 * age / half life); 0.5 for an unknown age."""
     age = F.greatest(age_micros(seen, now) / 86.4e9, F.lit(0.0))
-    return F.coalesce(F.exp(age * (-math.log(2) / half_life_days)), F.lit(0.5))
+    return F.when(seen.isNull(), 0.5).otherwise(F.exp(age * (-math.log(2) / half_life_days)))
 
 
 def hypothesis_score(strength: Column, independent: Column, temporal: Column, fresh: Column, coverage: Column, assumptions: Column | None = None, alternative: Column | None = None) -> Column:

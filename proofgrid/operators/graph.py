@@ -103,13 +103,14 @@ def valid_at(edges: DataFrame, when) -> DataFrame:
 
 def merged_vertices(vertices: DataFrame) -> DataFrame:
     """One vertex for each kind and name (case and blanks aside): first id by seq, attributes of later rows win, evidence united."""
-    name = F.lower(F.trim("display_name"))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "attributes")))
-    pairs = F.flatten(F.transform(ordered, lambda x: F.map_entries(x["attributes"])))
-    latest = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["key"])), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value")))
-    return vertices.groupBy("kind", name.alias("name")).agg(
-        F.min_by("entity_id", "seq").alias("entity_id"), F.map_from_entries(latest).alias("attributes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids")
-    )
+    rows = vertices.withColumn("name", F.lower(F.trim("display_name")))
+    first = rows.groupBy("kind", "name").agg(F.min_by("entity_id", "seq").alias("entity_id"))
+    latest = rows.select("kind", "name", "seq", F.explode("attributes").alias("key", "value")).groupBy("kind", "name", "key").agg(F.max_by("value", "seq").alias("value"))
+    maps = latest.groupBy("kind", "name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attributes"))
+    evidence = rows.select("kind", "name", F.explode("evidence_ids").alias("e")).groupBy("kind", "name").agg(F.array_sort(F.collect_set("e")).alias("evidence_ids"))
+    joined = first.join(maps, ["kind", "name"], "left").join(evidence, ["kind", "name"], "left")
+    empty_map, empty = F.create_map().cast("map<string,string>"), F.array().cast("array<string>")
+    return joined.select("kind", "name", "entity_id", F.coalesce("attributes", empty_map).alias("attributes"), F.coalesce("evidence_ids", empty).alias("evidence_ids"))
 
 
 def merge_edges(edges: DataFrame, survivors: DataFrame) -> DataFrame:
