@@ -111,9 +111,9 @@ def fusion_statements(obs: DataFrame) -> DataFrame:
 
 def insights(obs: DataFrame) -> DataFrame:
     """Shared hosting (a value that several subjects resolve to), and repetition from a single source."""
-    sources = obs.agg(F.countDistinct("source_id").alias("n_clusters"))
+    sources = obs.agg(F.countDistinct("source_id")).scalar()
     hosting = obs.where("predicate = 'resolves_to'").groupBy("value").agg(F.countDistinct("subject_id").alias("n_members")).where("n_members >= 2")
-    hosting = hosting.join(F.broadcast(sources)).select(F.lit("shared hosting context").alias("title"), F.col("value").alias("subject_or_value"), "n_members", "n_clusters")  # one row
+    hosting = hosting.select(F.lit("shared hosting context").alias("title"), F.col("value").alias("subject_or_value"), "n_members", sources.alias("n_clusters"))
     repeated = obs.groupBy("subject_id", "predicate").agg(F.count(F.lit(1)).alias("n_members"), F.countDistinct("source_id").alias("n_clusters")).where("n_members >= 3 AND n_clusters <= 1")
     return hosting.unionByName(repeated.select(F.lit("repeated but dependent sources").alias("title"), F.concat_ws(" ", "subject_id", "predicate").alias("subject_or_value"), "n_members", "n_clusters"))
 

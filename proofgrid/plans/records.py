@@ -129,10 +129,10 @@ def haversine_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = places(spark, sf_dir)
     if rows.count() > MOST_PLACES:
         raise ValueError(f"more than {MOST_PLACES} places")
-    known = rows.agg(F.collect_list(F.struct("nation_id", "lat", "lon")).alias("known"))
+    known = rows.agg(F.collect_list(F.struct("nation_id", "lat", "lon"))).scalar()
     away = lambda p: haversine(F.col("lat"), F.col("lon"), p["lat"], p["lon"])
     others = F.transform(F.filter("known", lambda p: p["nation_id"] != F.col("nation_id")), lambda p: F.struct(F.round(away(p), 3).alias("distance_m"), p["nation_id"].alias("nearest_id"), F.round(bearing(F.col("lat"), F.col("lon"), p["lat"], p["lon"]), 4).alias("bearing_deg")))
-    return rows.join(F.broadcast(known)).withColumn("near", F.array_min(others)).select("nation_id", "near.nearest_id", "near.distance_m", "near.bearing_deg")
+    return rows.withColumn("known", known).withColumn("near", F.array_min(others)).select("nation_id", "near.nearest_id", "near.distance_m", "near.bearing_deg")
 
 
 def competing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
