@@ -57,8 +57,8 @@ def exact_dedup(docs: DataFrame, content: Column | None = None, hash_column: Col
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, each document once, with all their columns."""
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256").distinct()
-    mine = docs.withColumn("own_sha256", F.sha2(one_space(text_or_empty()), 256))
+    mine = docs.withColumn("__own_sha256", F.sha2(one_space(text_or_empty()), 256))
     joined = mine.join(
-        kept, mine["doc_id"].eqNullSafe(kept["kept_id"]) & (mine["own_sha256"] == kept["text_sha256"]), "left_semi"
+        kept, mine["doc_id"].eqNullSafe(kept["kept_id"]) & (mine["__own_sha256"] == kept["text_sha256"]), "left_semi"
     )
-    return joined.dropDuplicates(["doc_id", "own_sha256"]).select(*[docs[c] for c in docs.columns])
+    return joined.dropDuplicates(["doc_id", "__own_sha256"]).select(*[docs[c] for c in docs.columns])

@@ -146,12 +146,12 @@ def mix_totals(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with the columns of docs: whole copies, and the first words of those taken in part."""
-    taken = mix_totals(docs, **options).where("taken > 0").select(F.col("doc_id").alias("its_id"), F.col("size").alias("its_size"), "taken").dropDuplicates(["its_id"])
-    rows = docs.dropDuplicates(["doc_id"]).join(taken, F.col("doc_id").eqNullSafe(F.col("its_id")))
-    whole = F.floor(F.col("taken") / F.col("its_size"))
-    part = F.col("taken") - whole * F.col("its_size")
+    taken = mix_totals(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__its_id"), F.col("size").alias("__its_size"), F.col("taken").alias("__taken")).dropDuplicates(["__its_id"])
+    rows = docs.dropDuplicates(["doc_id"]).join(taken, F.col("doc_id").eqNullSafe(F.col("__its_id")))
+    whole = F.floor(F.col("__taken") / F.col("__its_size"))
+    part = F.col("__taken") - whole * F.col("__its_size")
     copies = F.when(part > 0, F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.array(part))).otherwise(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")))
-    first_words = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("first").cast("int")), " ")
-    text = F.when(F.col("first") > 0, first_words).otherwise(F.col("text"))
-    out = rows.withColumn("first", F.explode(copies)).withColumn("new_text", text)
-    return out.select(*[F.col("new_text").alias(c) if c == "text" else F.length("new_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    first_words = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("__first").cast("int")), " ")
+    text = F.when(F.col("__first") > 0, first_words).otherwise(F.col("text"))
+    out = rows.withColumn("__first", F.explode(copies)).withColumn("__new_text", text)
+    return out.select(*[F.col("__new_text").alias(c) if c == "text" else F.length("__new_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
