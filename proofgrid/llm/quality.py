@@ -3,8 +3,9 @@
 Words are runs of letters, digits and non-ASCII bytes; runs of other signs are words of their own. The features of a text
 are its words and pairs of neighbouring words, hashed to 2**18 places, with damped counts scaled to unit length. Labelled
 rows are split over shards; in each round every shard goes on from the common state by per-coordinate FTRL-proximal
-updates, and what the shards add to the state (two vectors of fixed size) is summed. Scores are sparse dot products with
-the broadcast weights (1 MB, whatever the input).
+updates, and what the shards add to the state (two vectors of fixed size) goes to the shared folder, where the next round
+reads it. The driver sees the final weights alone (1 MB, whatever the input) and broadcasts them; scores are sparse dot
+products with them.
 
 The model is fitted on a bounded sample: at most SAMPLE labelled rows, those with the smallest hash of their id.
 Nulls, ties and odd input: a null text is empty, and an empty text has the bias alone; null labels and null ids teach
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunks, mix, run_hashes, stored, text_or_empty
+from .common import SPACE, chunks, filesystem, mix, run_hashes, scratch, stored, text_or_empty
 
 BUCKETS, SAMPLE, SHARDS, ROUNDS = 1 << 18, 20_000, 4, 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.0005, 0.0005
@@ -80,6 +81,19 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def summed(folder: str, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common state after some rounds: the sum of what their shards have added, read from the shared folder."""
+    import pyarrow.dataset as ds
+
+    z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for k in range(rounds):
+        fs, path = filesystem(f"{folder}/{k}")
+        rows = ds.dataset(path, filesystem=fs, format="parquet").to_table(["z", "n"]).to_pylist()
+        for r in sorted(rows, key=lambda r: r["z"]):
+            z, n = z + np.frombuffer(r["z"], np.float32), n + np.frombuffer(r["n"], np.float32)
+    return z, n
+
+
 def held_out(doc_id) -> F.Column:
     """The rows that no label is learnt from: crc32 of the id as text divisible by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -104,26 +118,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int
     learnt = stored(rows.mapInArrow(to_features, "doc_id long, label int, places binary, values binary"), "quality-features")
     order = F.xxhash64(F.lit("order"), "doc_id")
     learnt = learnt.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", order, "doc_id")
-    spark = docs.sparkSession
-    z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for _ in range(rounds):
-        common = spark.sparkContext.broadcast((z, n))
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession, "quality-rounds")
+    for k in range(rounds):
 
-        def one_round(batches, common=common):
+        def one_round(batches, k=k):
             import pyarrow as pa
 
-            mine: dict[int, Ftrl] = {}
+            common, mine = None, {}
             for some in chunks(batches):
+                common = summed(folder, k) if common is None else common
                 for r in some:
-                    mine.setdefault(r["shard"], Ftrl(*common.value)).update(r["label"], np.frombuffer(r["places"], np.int32), np.frombuffer(r["values"], np.float32))
-            added = [(k, (f.z - common.value[0]).tobytes(), (f.n - common.value[1]).tobytes()) for k, f in mine.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in added], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["shard", "z", "n"])
-
-        parts = learnt.mapInArrow(one_round, "shard int, z binary, n binary").collect()  # two vectors of fixed size a shard
-        for p in sorted(parts, key=lambda p: p["shard"]):
-            z, n = z + np.frombuffer(p["z"]), n + np.frombuffer(p["n"])
-        common.unpersist()
-    return Ftrl.weights(z, n).astype(np.float32)
+                    mine.setdefault(r["shard"], Ftrl(*common)).update(r["label"], np.frombuffer(r["places"], np.int32), np.frombuffer(r["values"], np.float32))
+            added = [((f.z - common[0]).astype(np.float32).tobytes(), (f.n - common[1]).astype(np.float32).tobytes()) for _, f in sorted(mine.items())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in added], pa.binary()) for j in range(2)], ["z", "n"])
+
+        learnt.mapInArrow(one_round, "z binary, n binary").write.parquet(f"{folder}/{k}")
+
+    def end(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([Ftrl.weights(*summed(folder, rounds)).astype(np.float32).tobytes()], pa.binary())], ["weights"])
+
+    return np.frombuffer(spark.range(1, numPartitions=1).mapInArrow(end, "weights binary").first()[0], np.float32)
 
 
 def score_column(spark, weights: np.ndarray):
