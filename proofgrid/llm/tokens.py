@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import repeat
 
 import numpy as np
 
@@ -57,14 +58,14 @@ class WordTokenizer:
         words = raw.split() if b"<|" in raw else raw.lower().split()
         if len(self.place) > self.most:
             self.forget()
-        place = list(map(self.place.get, words))
-        if None in place:
-            self.learn(list({w for w, k in zip(words, place, strict=True) if k is None}))
-            place = list(map(self.place.get, words))
         tail = np.array([] if end_id is None else [end_id], np.uint32)
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        if len(missing := np.flatnonzero(place < 0)):
+            unknown = [words[k] for k in missing.tolist()]
+            self.learn(list(set(unknown)))
+            place[missing] = [self.place[w] for w in unknown]
         if not words or not len(self.flat):
             return tail
-        place = np.array(place, np.int64)
         counts, starts = np.frombuffer(self.counts, np.int64)[place], np.frombuffer(self.starts, np.int64)[place]
         ends = np.cumsum(counts)
         at = np.arange(int(ends[-1])) + np.repeat(starts - ends + counts, counts)
