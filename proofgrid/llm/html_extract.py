@@ -3,7 +3,8 @@
 Each page votes, in Spark, for the container that scores best on it: its text outside links and boilerplate, less a
 share for what lies outside paragraphs. A vote names the container's generalised path: the tags from the root with their
 classes, digits dropped. Votes are summed by host and path; the path with most votes wins its host, and every page is
-extracted again from the containers on the winning path, or from its own best one if it has none there.
+extracted again from the containers on the winning path, or from its own best one if it has none there. The page itself
+counts as a container, as its body tag may be left out. Where marked wrappers hold all text, their marks are passed over.
 
 Nulls, ties and odd input: null html is empty and gives an empty text; a null or odd url belongs to the host ""; equal
 votes go to the path first in order; repeated rows vote and are answered each; broken markup (tags left open, tags cut off
@@ -26,6 +27,8 @@ SALTS = 64
 #: Hosts whose winners are broadcast: at most so many rows of two short strings; beyond, pages are shuffled to them.
 MOST_BROADCAST = 50_000
 LONGEST_PATH = 400
+#: The path of the page itself.
+ROOT = ">"
 
 # HTML elements by kind.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -55,7 +58,7 @@ class Node:
         self.text = self.links = self.paragraphs = 0
 
 
-def described(tag: str, attributes: str) -> tuple[str, bool]:
+def described(tag: str, attributes: str, heed: bool = True) -> tuple[str, bool]:
     """The generalised step of a path, and whether the element is boilerplate by its class, id or role."""
     classes, marked = "", False
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -63,13 +66,13 @@ def described(tag: str, attributes: str) -> tuple[str, bool]:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             marked = True
         elif name != "aria-hidden":
-            marked = marked or not BOILERPLATE.isdisjoint(_WORD.findall(value))
+            marked = marked or heed and not BOILERPLATE.isdisjoint(_WORD.findall(value))
             if name == "class":
                 classes = ".".join(sorted({re.sub(r"[\d_-]+", "", c) for c in value.split()} - {""}))
     return (f"{tag}.{classes}" if classes else tag), marked
 
 
-def walk(page: str):
+def walk(page: str, heed: bool = True):
     """Events of a page in order: ("in", node, parents), ("out", node), ("text", raw, nodes), ("break",)."""
     stack, at, end = [Node("", "", False)], 0, len(page)
     while at < end:
@@ -120,7 +123,7 @@ def walk(page: str):
                     break
                 if stack[depth].tag in ("ul", "ol", "dl", "table", *(("tr",) if tag in ("td", "th") else ())):
                     break
-        step, marked = described(tag, attributes or "")
+        step, marked = described(tag, attributes or "", heed)
         above = stack[-1]
         article = tag in ("article", "main", "body", "html")
         inside = any(n.tag in ("article", "main") for n in stack)
@@ -133,10 +136,10 @@ def walk(page: str):
         yield "out", node, stack
 
 
-def best_path(page: str) -> tuple[str, float]:
-    """The path of the container with the best score, and its share of the page's text; "" without text."""
-    best, score, total = "", 0.0, 0
-    for event, what, stack in walk(page):
+def best_path(page: str, heed: bool = True) -> tuple[str, float]:
+    """The path of the container with the best score, and its share of the page's text; "" without text. heed: whether marked wrappers are skipped."""
+    best, score, total, stack = "", 0.0, 0, []
+    for event, what, stack in walk(page, heed):
         if event == "text":
             if not stack[-1].skip:
                 n = len(what.strip())
@@ -157,19 +160,25 @@ def best_path(page: str) -> tuple[str, float]:
             stack[-1].text += share * what.text
             stack[-1].links += share * what.links
             stack[-1].paragraphs += share * what.paragraphs
+    if stack:
+        root = stack[0]
+        value = root.paragraphs + 0.3 * (root.text - root.paragraphs) - root.links
+        # without any other container even a page of links is its own text
+        if value > score or total and not best:
+            best, score = ROOT, max(value, 0.0)
     return best, score / max(total, 1)
 
 
-def text_at(page: str, path: str) -> str:
+def text_at(page: str, path: str, heed: bool = True) -> str:
     """The text of the outermost containers on a path: blocks in page order, white space as one space, one line end between."""
-    blocks, held, open_at = [], [], None
+    blocks, held, open_at = [], [], ROOT if path == ROOT else None
 
     def flush():
         if block := _WHITE.sub(" ", html.unescape("".join(held))).strip():
             blocks.append(block)
         held.clear()
 
-    for event, what, stack in walk(page):
+    for event, what, stack in walk(page, heed):
         if open_at is None:
             if event == "in" and what.path == path and what.tag in CONTAINERS and not what.skip:
                 open_at = what
@@ -225,6 +234,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 if not text:
                     own, _ = best_path(r["html"])
                     text = text_at(r["html"], own) if own else ""
+                if not text:
+                    own, _ = best_path(r["html"], heed=False)
+                    text = text_at(r["html"], own, heed=False) if own else ""
                 texts.append(text)
             columns = [pa.array([r["page_id"] for r in some], pa.int64()), pa.array([r["url"] for r in some], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
