@@ -1,10 +1,12 @@
 """HTML extraction by consensus host paths.
 
 Each page votes, in Spark, for the container that scores best on it: its text outside links and boilerplate, less a
-share for what lies outside paragraphs. A vote names the container's generalised path: the tags from the root with their
-classes, digits dropped. Votes are summed by host and path; the path with most votes wins its host, and every page is
+share for what lies outside paragraphs. A vote names the container's generalised path: a digest of the tags from the root
+with their classes, digits dropped. Votes are summed by host and path; the path with most votes wins its host, and every page is
 extracted again from the containers on the winning path, or from its own best one if it has none there. The page itself
-counts as a container, as its body tag may be left out. Where marked wrappers hold all text, their marks are passed over.
+counts as a container, as its body tag may be left out. A class, id or role marks boilerplate only if the name as a whole
+says so (MARKS and PLAIN words alone), and a header inside an article belongs to it. Where marked wrappers hold all text,
+their marks are passed over. Reading takes time in proportion to the page, however many elements are left open.
 
 Nulls, ties and odd input: null html is empty and gives an empty text; a null or odd url belongs to the host ""; equal
 votes go to the path first in order; repeated rows vote and are answered each; broken markup (tags left open, tags cut off
@@ -13,8 +15,10 @@ at the end, stray ends) is read as far as it goes; an empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,55 +30,112 @@ RESULT = "page_id long, url string, text string, n_chars long"
 SALTS = 64
 #: Hosts whose winners are broadcast: at most so many rows of two short strings; beyond, pages are shuffled to them.
 MOST_BROADCAST = 50_000
-LONGEST_PATH = 400
 #: The path of the page itself.
 ROOT = ">"
 
 # HTML elements by kind.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object"}
-SKIPPED = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "label", "fieldset", "audio", "video", "canvas"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"}
+SKIPPED = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "audio", "video", "canvas", "svg"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label", "math", "mfrac", "mi", "mn", "mo", "mover", "mrow", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "semantics"}
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "center", "blockquote"}
 ENDS_PARAGRAPH = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
-# Words in class, id or role that mark what is not the article.
-BOILERPLATE = {
+# Words of class, id and role names that mark what is not the article, and words that may stand beside them.
+MARKS = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "form", "gdpr", "header", "login",
     "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+PLAIN = {
+    "area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "desktop", "entry", "global", "google", "group", "icons", "inner", "item", "items", "js", "left", "legal", "link", "links",
+    "list", "main", "mobile", "more", "outer", "overlay", "page", "panel", "policy", "post", "posts", "primary", "reader", "readers", "region", "right", "row", "secondary", "section", "site", "slot", "sticky", "stories", "story", "this", "thread", "top",
+    "unit", "us", "user", "users", "wp", "wrap", "wrapper",
+}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WHITE = re.compile(r"\s+")
+#: Places of the elements that end an open one of their kind, and the elements beyond which they don't look for it.
+_PEERS = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4}
+_LISTS = {"ul", "ol", "dl", "table"}
 
 
 class Node:
-    __slots__ = ("text", "links", "paragraphs", "path", "skip", "tag")
+    """An open element. open: for each place of _PEERS the depth of the one in reach, or 0; block: the nearest element that isn't inline; marks: how many inline elements of each tag are open right in it."""
+
+    __slots__ = ("tag", "path", "skip", "article", "linked", "prose", "open", "block", "marks", "text", "links", "paragraphs")
 
-    def __init__(self, tag: str, path: str, skip: bool):
+    def __init__(self, tag: str, path: str, skip: bool, above: Node | None, depth: int, inline: bool):
         self.tag, self.path, self.skip = tag, path, skip
         self.text = self.links = self.paragraphs = 0
-
-
-def described(tag: str, attributes: str, heed: bool = True) -> tuple[str, bool]:
-    """The generalised step of a path, and whether the element is boilerplate by its class, id or role."""
+        if above is None:
+            self.article = self.linked = self.prose = False
+            self.block, self.marks, self.open = self, Counter(), (0, 0, 0, 0, 0)
+            return
+        self.open, self.article, self.prose = above.open, above.article, above.prose
+        self.linked = above.linked or tag == "a"
+        if inline:
+            self.block, self.marks = above.block, None
+            return
+        self.block, self.marks = self, Counter()
+        if tag in _PEERS or tag in CONTAINERS or tag in _LISTS:
+            self.article, self.prose = above.article or tag in ("article", "main"), above.prose or tag == "p"
+            places = list(above.open)
+            if tag in CONTAINERS:
+                places[0] = 0
+            if tag in _LISTS:
+                places[1:] = 0, 0, 0, 0
+            if tag == "tr":
+                places[4] = 0
+            if tag in _PEERS:
+                places[_PEERS[tag]] = depth
+            self.open = tuple(places)
+
+
+def marks_off(name: str, inside: bool) -> bool:
+    """Whether a class, id or role name as a whole marks what is not the article; inside: of an article or main."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    own = [w for w in words if w in MARKS and not (inside and w == "header")]
+    return bool(own) and all(w in PLAIN or w in MARKS for w in words)
+
+
+def described(attributes: str, heed: bool, inside: bool) -> tuple[str, bool]:
+    """The generalised classes, and whether the element is boilerplate by its class, id or role."""
     classes, marked = "", False
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             marked = True
         elif name != "aria-hidden":
-            marked = marked or heed and not BOILERPLATE.isdisjoint(_WORD.findall(value))
+            marked = marked or heed and any(marks_off(x, inside) for x in value.split())
             if name == "class":
-                classes = ".".join(sorted({re.sub(r"[\d_-]+", "", c) for c in value.split()} - {""}))
-    return (f"{tag}.{classes}" if classes else tag), marked
+                classes = ".".join(sorted({re.sub(r"[\d_-]+", "", c) for c in value.lower().split()} - {""}))
+    return classes, marked
+
+
+_paths: dict[tuple[str, str, str], str] = {}
+
+
+def path_below(path: str, tag: str, classes: str) -> str:
+    """A 128-bit digest of the whole generalised path."""
+    key = (path, tag, classes)
+    if key not in _paths:
+        if len(_paths) >= 100_000:
+            _paths.clear()
+        _paths[key] = hashlib.blake2b(f"{path}>{tag}.{classes}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return _paths[key]
 
 
 def walk(page: str, heed: bool = True):
     """Events of a page in order: ("in", node, parents), ("out", node), ("text", raw, nodes), ("break",)."""
-    stack, at, end = [Node("", "", False)], 0, len(page)
+    stack, opened, at, end = [Node("", "", False, None, 0, False)], Counter(), 0, len(page)
+
+    def close():
+        node = stack.pop()
+        (node.block.marks if node.marks is None else opened)[node.tag] -= 1
+        return "out", node, stack
+
     while at < end:
         found = _TOKEN.search(page, at)
         if found is None:
@@ -87,14 +148,16 @@ def walk(page: str, heed: bool = True):
         if not tag:
             continue
         tag = tag.lower()
+        inline = tag in INLINE
         if closing:
-            if any(n.tag == tag for n in stack[1:]):
+            # an inline end closes none of the blocks around it
+            if (stack[-1].block.marks if inline else opened)[tag] > 0:
                 while True:
-                    node = stack.pop()
-                    yield "out", node, stack
-                    if node.tag == tag:
+                    event = close()
+                    yield event
+                    if event[1].tag == tag:
                         break
-            elif tag not in INLINE:
+            elif not inline:
                 yield "break", None, stack
             continue
         if tag in RAW:
@@ -102,38 +165,21 @@ def walk(page: str, heed: bool = True):
             at = done.end() if done else end
             continue
         if tag in VOID:
-            yield ("space" if tag in INLINE else "break"), None, stack
+            yield ("space" if inline else "break"), None, stack
             continue
-        if tag in ENDS_PARAGRAPH:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    while len(stack) > depth:
-                        node = stack.pop()
-                        yield "out", node, stack
-                    break
-                if stack[depth].tag in CONTAINERS:
-                    break
-        elif tag in ("li", "dt", "dd", "tr", "td", "th"):
-            peers = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in peers:
-                    while len(stack) > depth:
-                        node = stack.pop()
-                        yield "out", node, stack
-                    break
-                if stack[depth].tag in ("ul", "ol", "dl", "table", *(("tr",) if tag in ("td", "th") else ())):
-                    break
-        step, marked = described(tag, attributes or "", heed)
+        depth = stack[-1].open[0 if tag in ENDS_PARAGRAPH else _PEERS[tag]] if tag in ENDS_PARAGRAPH or tag in _PEERS else 0
+        while depth and len(stack) > depth:
+            yield close()
         above = stack[-1]
+        classes, marked = described(attributes, heed, above.article) if attributes else ("", False)
         article = tag in ("article", "main", "body", "html")
-        inside = any(n.tag in ("article", "main") for n in stack)
-        skip = above.skip or tag in SKIPPED or (marked and not article) or (tag == "header" and not inside)
-        node = Node(tag, f"{above.path}>{step}"[-LONGEST_PATH:] if tag not in INLINE else above.path, skip)
+        skip = above.skip or tag in SKIPPED or (marked and not article) or (tag == "header" and not above.article)
+        node = Node(tag, above.path if inline else path_below(above.path, tag, classes), skip, above, len(stack), inline)
+        (node.block.marks if inline else opened)[tag] += 1
         stack.append(node)
         yield "in", node, stack
     while len(stack) > 1:
-        node = stack.pop()
-        yield "out", node, stack
+        yield close()
 
 
 def best_path(page: str, heed: bool = True) -> tuple[str, float]:
@@ -145,10 +191,9 @@ def best_path(page: str, heed: bool = True) -> tuple[str, float]:
                 n = len(what.strip())
                 stack[-1].text += n
                 total += n
-                tags = [x.tag for x in stack]
-                if "a" in tags:
+                if stack[-1].linked:
                     stack[-1].links += n
-                elif "p" in tags or stack[-1].tag in ("h1", "h2", "h3", "h4", "li", "pre"):
+                elif stack[-1].prose or stack[-1].tag in ("h1", "h2", "h3", "h4", "li", "pre"):
                     stack[-1].paragraphs += n
         elif event == "out":
             if what.tag in CONTAINERS and not what.skip:

@@ -17,3 +17,88 @@ def test_pages_without_containers_or_with_marked_wrappers_keep_their_text(spark)
     rows = [(k, f"http://h{k}.example/", page) for k, page in enumerate(WANT)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == dict(enumerate(WANT.values()))
+
+
+KEPT = {
+    "<body><article><header class='entry-header'><h1>The head.</h1></header><p>One long enough paragraph.</p></article></body>": "The head.\nOne long enough paragraph.",
+    "<article><p class='share-price'>A price.</p><div class='search-results-study'><p>A study.</p></div><p>And more text.</p></article>": "A price.\nA study.\nAnd more text.",
+    "<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><svg><text>no</text></svg><p>More.</p></article>": "Where x=2 holds.\nMore.",
+    "<article><p>Text one.</p><div class='ad-slot'>no</div><div class='social-share-buttons'>no</div><section id='reader-comments'><p>no</p></section><p>Two.</p></article>": "Text one.\nTwo.",
+    "<b><div class='x'><p>One.</p></b><p>Two.</p></div>": "One.\nTwo.",
+    "<header class='site-header'><p>no</p></header><main><p>The text of the page.</p></main><div role='complementary'><p>no</p></div>": "The text of the page.",
+}
+
+
+def test_article_text_survives_names_that_only_resemble_boilerplate():
+    for page, want in KEPT.items():
+        assert html_extract.text_at(page, html_extract.best_path(page)[0]) == want, page
+
+
+def test_paths_that_share_a_long_end_stay_apart():
+    inner = "".join(f"<div class='wrapper-of-a-long-name-{chr(97 + k)}'>" for k in range(20))
+    close = "</div>" * 20
+    page = f"<div class='left'>{inner}<p>{'The article. ' * 30}</p>{close}</div><div class='other'>{inner}<p>Unrelated column.</p>{close}</div>"
+    assert html_extract.text_at(page, html_extract.best_path(page)[0]) == ("The article. " * 30).strip()
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    for unit in ("<b>", "<div>", "<ul><li>", "</i><b>"):
+        spent = []
+        for n in (4_000, 32_000):
+            began = time.process_time()
+            page = unit * n + "x"
+            html_extract.text_at(page, html_extract.best_path(page)[0])
+            spent.append(time.process_time() - began)
+        assert spent[1] < 8 * 4 * spent[0] + 0.5, (unit, spent)
+
+
+def plain_reader(page):
+    """A second reading of small well-formed pages: blocks of the article outside marked parts, by the standard parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.blocks, self.held = [], [], ""
+
+        def flush(self):
+            if words := self.held.split():
+                self.blocks.append(" ".join(words))
+            self.held = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append((tag, dict(attrs).get("class")))
+            if tag not in ("b", "i", "a"):
+                self.flush()
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "i", "a"):
+                self.flush()
+            self.open.pop()
+
+        def handle_data(self, data):
+            if any(t == "article" for t, _ in self.open) and not any(t in ("nav", "aside", "form") or c in ("ad", "comments") for t, c in self.open):
+                self.held += data
+
+    reader = Reader()
+    reader.feed(page)
+    return "\n".join(reader.blocks)
+
+
+def test_random_pages_match_a_plain_reader(spark):
+    import random
+
+    rng, pages = random.Random(9), []
+    words = lambda n: " ".join(rng.choice(("alpha", "b&amp;c", "d<b>e</b>f", "<i>g</i>", "<a href='/x'>h</a>", "&eacute;", "x  y")) for _ in range(n))
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(3, 9)):
+            body = words(rng.randint(5, 30))
+            parts.append(rng.choice((f"<p>{body}</p>", f"<p>{body}</p>", f"<h2>{body}</h2>", f"<ul><li>{body}</li><li>k</li></ul>", f"<div class='ad'>{body}</div>", f"<aside>{body}</aside>", f"<div class='comments'><p>{body}</p></div>")))
+        pages.append(f"<html><body><nav><a href='/'>menu</a></nav><article><h1>T</h1><p>{words(60)}</p>{''.join(parts)}</article><form>no</form></body></html>")
+    rows = [(k, f"http://h{k % 7}.example/{k}", page, "clash", 1) for k, page in enumerate([*pages, pages[0]])]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, path string, host int")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(docs).collect()}
+    assert got == {k: plain_reader(page) for k, page in enumerate([*pages, pages[0]])}
