@@ -6,18 +6,12 @@ names, so lineage stays short and a lost executor costs one level.
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def held(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from ..sources.shared import held
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -31,18 +25,37 @@ def neighbors(edges: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
-    """start_id, entity_id, hops: the entities within depth hops of each start (column start_id), with the fewest hops."""
+    """start_id, entity_id, hops: the entities within depth hops of each start (column start_id), with the fewest hops.
+
+    A level holds what is new in it; edges go both ways, so a level's neighbours lie in it or in the two beside it.
+    """
     both = held(undirected(edges))
-    seen = frontier = held(starts.select("start_id", F.col("start_id").alias("entity_id"), F.lit(0).alias("hops")))
-    level = 0
-    while depth is None or level < depth:
-        level += 1
-        step = frontier.join(both, frontier["entity_id"] == both["a"]).select("start_id", F.col("b").alias("entity_id")).distinct()
-        frontier = held(step.join(seen, ["start_id", "entity_id"], "left_anti").select("start_id", "entity_id", F.lit(level).alias("hops")))
-        if frontier.isEmpty():
+    levels = [held(starts.select("start_id", F.col("start_id").alias("entity_id"), F.lit(0).alias("hops")))]
+    while depth is None or len(levels) <= depth:
+        step = levels[-1].join(both, levels[-1]["entity_id"] == both["a"]).select("start_id", F.col("b").alias("entity_id")).distinct()
+        for near in levels[-2:]:
+            step = step.join(near.select("start_id", "entity_id"), ["start_id", "entity_id"], "left_anti")
+        found = held(step.select("start_id", "entity_id", F.lit(len(levels)).alias("hops")))
+        if found.isEmpty():
             break
-        seen = held(seen.union(frontier))
-    return seen
+        levels.append(found)
+    return reduce(DataFrame.union, levels)
+
+
+def routes(edges: DataFrame, start: str) -> DataFrame:
+    """entity_id, hops, route: a shortest way from one start to each entity; of several, the one whose last but one is least, and so on back."""
+    both = held(undirected(edges))
+    spark = edges.sparkSession
+    levels = [held(spark.createDataFrame([(start, 0, [start])], "entity_id string, hops int, route array<string>"))]
+    while True:
+        step = levels[-1].join(both, levels[-1]["entity_id"] == both["a"]).groupBy(F.col("b").alias("entity_id")).agg(F.min_by("route", "a").alias("before"))
+        for near in levels[-2:]:
+            step = step.join(near.select("entity_id"), "entity_id", "left_anti")
+        found = held(step.select("entity_id", F.lit(len(levels)).alias("hops"), F.concat("before", F.array("entity_id")).alias("route")))
+        if found.isEmpty():
+            break
+        levels.append(found)
+    return reduce(DataFrame.union, levels)
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -60,24 +73,44 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return found
 
 
-def waves(tasks: DataFrame, depends: DataFrame, most: int = 1000) -> DataFrame:
-    """task_id, wave: the longest chain of dependencies below each task, from 0. depends: task_id, depends_on.
-
-    Tasks in or above a cycle have a null wave; dependencies on unknown tasks don't count.
-    """
+def peeled(tasks: DataFrame, depends: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tasks by wave, as one table a wave, and the tasks in or above a cycle, which no wave reaches."""
     known = depends.join(tasks.select(F.col("task_id").alias("depends_on")), "depends_on", "left_semi").distinct()
-    open_, done, wave = held(known), None, 0
-    left = held(tasks.select("task_id").distinct())
-    while wave < most:
-        ready = held(left.join(open_.select("task_id").distinct(), "task_id", "left_anti").select("task_id", F.lit(wave).alias("wave")))
+    open_, left, done = held(known), held(tasks.select("task_id").distinct()), []
+    while True:
+        ready = held(left.join(open_.select("task_id").distinct(), "task_id", "left_anti").select("task_id", F.lit(len(done)).alias("wave")))
         if ready.isEmpty():
-            break
-        done = ready if done is None else held(done.union(ready))
+            return done, left
+        done.append(ready)
         left = held(left.join(ready, "task_id", "left_anti"))
         open_ = held(open_.join(ready.select(F.col("task_id").alias("depends_on")), "depends_on", "left_anti"))
-        wave += 1
-    stuck = left.select("task_id", F.lit(None).cast("int").alias("wave"))
-    return stuck if done is None else done.union(stuck)
+
+
+def waves(tasks: DataFrame, depends: DataFrame) -> DataFrame:
+    """task_id, wave: the longest chain of dependencies below each task, from 0. depends: task_id, depends_on.
+
+    Tasks in or above a cycle, and only they, have a null wave; dependencies on unknown tasks don't count.
+    """
+    done, stuck = peeled(tasks, depends)
+    return reduce(DataFrame.union, [*done, stuck.select("task_id", F.lit(None).cast("int").alias("wave"))])
+
+
+def cyclic(tasks: DataFrame, depends: DataFrame) -> DataFrame:
+    """task_id of the tasks that are in a cycle or wait for one."""
+    return peeled(tasks, depends)[1]
+
+
+def incident(edges: DataFrame) -> DataFrame:
+    """entity_id, edge columns and direction: each edge at both of its ends."""
+    rest = [c for c in edges.columns if c not in ("source", "target")]
+    out = edges.select(F.col("source").alias("entity_id"), F.col("target").alias("other_id"), *rest, F.lit("out").alias("direction"))
+    return out.unionByName(edges.select(F.col("target").alias("entity_id"), F.col("source").alias("other_id"), *rest, F.lit("in").alias("direction")))
+
+
+def known_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The edges both of whose ends are vertices (entity_id)."""
+    ids = vertices.select("entity_id").distinct()
+    return edges.join(ids.withColumnRenamed("entity_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("entity_id", "target"), "target", "left_semi")
 
 
 def bounded_trace(edges: DataFrame, starts: DataFrame, depth: int = 3, fan_out: int = 10, stop: DataFrame | None = None) -> DataFrame:

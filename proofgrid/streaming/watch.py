@@ -6,20 +6,10 @@ that were seen, and a second run alerts only what is new.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.shared import shared_path as folder  # noqa: F401
 
 
 def feed(spark: SparkSession, directory: str, name: str) -> DataFrame:
