@@ -3,8 +3,8 @@
 Words are runs of letters, digits and non-ASCII bytes; runs of other signs are words of their own. The features of a text
 are its words and pairs of neighbouring words, hashed to 2**18 places, with damped counts scaled to unit length. Labelled
 rows are split over shards; in each round every shard goes on from the common state by per-coordinate FTRL-proximal
-updates, and what the shards add to the state (two vectors of fixed size) goes to the shared folder, where the next round
-reads it. The driver sees the final weights alone (1 MB, whatever the input) and broadcasts them; scores are sparse dot
+updates, and what the shards add to the state goes with that state (vectors of fixed size) to the shared folder, where the
+next round reads it. The driver sees the final weights alone (1 MB, whatever the input) and broadcasts them; scores are sparse dot
 products with them.
 
 The model is fitted on a bounded sample: at most SAMPLE labelled rows, those with the smallest hash of their id.
@@ -82,14 +82,16 @@ class Ftrl:
 
 
 def summed(folder: str, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """The common state after some rounds: the sum of what their shards have added, read from the shared folder."""
+    """The common state after some rounds, from the last round's rows in the shared folder: its shards' common state and what each added."""
     import pyarrow.dataset as ds
 
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for k in range(rounds):
-        fs, path = filesystem(f"{folder}/{k}")
-        rows = ds.dataset(path, filesystem=fs, format="parquet").to_table(["z", "n"]).to_pylist()
-        for r in sorted(rows, key=lambda r: r["z"]):
+    if rounds:
+        fs, path = filesystem(f"{folder}/{rounds - 1}")
+        rows = ds.dataset(path, filesystem=fs, format="parquet").to_table(["z", "n", "before_z", "before_n"]).to_pylist()
+        for k, r in enumerate(sorted(rows, key=lambda r: r["z"])):
+            if k == 0:
+                z, n = np.frombuffer(r["before_z"]), np.frombuffer(r["before_n"])
             z, n = z + np.frombuffer(r["z"], np.float32), n + np.frombuffer(r["n"], np.float32)
     return z, n
 
@@ -102,7 +104,11 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, rounds: int = ROUNDS) -> np.ndarray:
     """Weights (float32) learnt from at most `sample` labelled rows that are not held out."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    chosen = known.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.where(~held_out("doc_id"))
+    # hashes are even, so this keeps a little more than the sample and no task has to order all labels
+    share = min(1.0, (1.1 * sample + 1000) / max(1, known.count()))
+    lowest = known.where(F.xxhash64("doc_id") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
+    chosen = lowest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
 
     def to_features(batches):
@@ -117,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int
 
     learnt = stored(rows.mapInArrow(to_features, "doc_id long, label int, places binary, values binary"), "quality-features")
     order = F.xxhash64(F.lit("order"), "doc_id")
-    learnt = learnt.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", order, "doc_id")
+    learnt = learnt.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", order, "doc_id")
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "quality-rounds")
     for k in range(rounds):
 
@@ -129,10 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int
                 common = summed(folder, k) if common is None else common
                 for r in some:
                     mine.setdefault(r["shard"], Ftrl(*common)).update(r["label"], np.frombuffer(r["places"], np.int32), np.frombuffer(r["values"], np.float32))
-            added = [((f.z - common[0]).astype(np.float32).tobytes(), (f.n - common[1]).astype(np.float32).tobytes()) for _, f in sorted(mine.items())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in added], pa.binary()) for j in range(2)], ["z", "n"])
+            added = [((f.z - common[0]).astype(np.float32).tobytes(), (f.n - common[1]).astype(np.float32).tobytes(), common[0].tobytes(), common[1].tobytes()) for _, f in sorted(mine.items())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in added], pa.binary()) for j in range(4)], ["z", "n", "before_z", "before_n"])
 
-        learnt.mapInArrow(one_round, "z binary, n binary").write.parquet(f"{folder}/{k}")
+        learnt.mapInArrow(one_round, "z binary, n binary, before_z binary, before_n binary").write.parquet(f"{folder}/{k}")
 
     def end(batches):
         import pyarrow as pa
