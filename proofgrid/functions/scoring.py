@@ -21,10 +21,12 @@ def freshness(seen: Column, now: dt.datetime, half_life_days: float = 30.0) -> C
     return F.when(seen.isNull(), 0.5).otherwise(F.exp(age * (-math.log(2) / half_life_days)))
 
 
-def hypothesis_score(strength: Column, independent: Column, temporal: Column, fresh: Column, coverage: Column, assumptions: Column | None = None, alternative: Column | None = None) -> Column:
-    """Six weighted terms less penalties, between 0 and 1."""
-    raw = 0.3 * strength + 0.2 * F.least(F.lit(1.0), independent / 3.0) + 0.15 * temporal + 0.15 + 0.1 * fresh + 0.05 * coverage
-    for weight, part in ((0.05, None if assumptions is None else F.least(assumptions, F.lit(4))), (0.15, alternative)):
+def hypothesis_score(
+    strength: Column, independent: Column, temporal: Column, fresh: Column, coverage: Column, entity: Column | None = None, contradiction: Column | None = None, assumptions: Column | None = None, alternative: Column | None = None
+) -> Column:
+    """Six weighted terms less the penalties for contradiction, assumptions and the best alternative, between 0 and 1."""
+    raw = 0.3 * strength + 0.2 * F.least(F.lit(1.0), independent / 3.0) + 0.15 * temporal + 0.15 * (F.lit(1.0) if entity is None else entity) + 0.1 * fresh + 0.05 * coverage
+    for weight, part in ((0.1, contradiction), (0.05, None if assumptions is None else F.least(assumptions, F.lit(4))), (0.15, alternative)):
         if part is not None:
             raw = raw - weight * part
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))

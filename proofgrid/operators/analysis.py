@@ -69,8 +69,9 @@ def schema_profile(table: DataFrame, name: str) -> DataFrame:
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """key, change_kind, old_value, new_value of two snapshots (key, value)."""
-    joined = old.select("key", F.col("value").alias("old_value")).join(new.select("key", F.col("value").alias("new_value")), "key", "full_outer")
-    kind = F.when(F.col("old_value").isNull(), "added").when(F.col("new_value").isNull(), "removed").when(F.col("old_value") != F.col("new_value"), "changed")
+    before, after = old.select("key", F.col("value").alias("old_value"), F.lit(True).alias("was")), new.select("key", F.col("value").alias("new_value"), F.lit(True).alias("is"))
+    joined = before.join(after, "key", "full_outer")
+    kind = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(~F.col("old_value").eqNullSafe(F.col("new_value")), "changed")
     return joined.withColumn("change_kind", kind).where("change_kind IS NOT NULL").select("key", "change_kind", "old_value", "new_value")
 
 
@@ -93,12 +94,19 @@ def er_pairs(entities: DataFrame, blocks: list[str]) -> DataFrame:
 
 
 def dual_pass(first: DataFrame, second: DataFrame) -> DataFrame:
-    """item_id, verdict, common, only_first, only_second for the claims (array) of two analysis passes."""
+    """item_id, verdict, common, only_first, only_second for the claims (array) of two analysis passes.
+
+    A null array is a pass that failed. Where claims are shared and others are not, each claim of the smaller pass being
+    part of one of the larger, or the other way round, is agreement in substance.
+    """
     both = first.select("item_id", F.col("claims").alias("a")).join(second.select("item_id", F.col("claims").alias("b")), "item_id", "full_outer")
-    a, b = F.coalesce("a", F.array().cast("array<string>")), F.coalesce("b", F.array().cast("array<string>"))
+    empty = F.array().cast("array<string>")
+    a, b = F.coalesce("a", empty), F.coalesce("b", empty)
     common, only_a, only_b = F.size(F.array_intersect(a, b)), F.size(F.array_except(a, b)), F.size(F.array_except(b, a))
+    larger, smaller = F.when(F.size(a) >= F.size(b), a).otherwise(b), F.when(F.size(a) >= F.size(b), b).otherwise(a)
+    within = F.forall(smaller, lambda x: F.exists(larger, lambda y: F.contains(y, x) | F.contains(x, y)))
     verdict = (
         F.when((F.size(a) == 0) & (F.size(b) == 0), "NO_CLAIMS").when(F.size(b) == 0, "FIRST_ONLY").when(F.size(a) == 0, "SECOND_ONLY")
-        .when((only_a == 0) & (only_b == 0), "AGREE").when(common == 0, "DISAGREE").otherwise("PARTIAL")
+        .when((only_a == 0) & (only_b == 0), "AGREE").when(common == 0, "DISAGREE").when(within, "SEMANTIC").otherwise("PARTIAL")
     )
     return both.select("item_id", verdict.alias("verdict"), common.alias("common"), only_a.alias("only_first"), only_b.alias("only_second"))

@@ -26,15 +26,25 @@ def claim_review(claims: DataFrame) -> DataFrame:
 
 
 def hypothesis_review(hypotheses: DataFrame, facts: DataFrame) -> DataFrame:
-    """hypothesis_id, problems: rules that keep it from being admitted; refs must be gated facts (fact_id)."""
+    """hypothesis_id, problems: rules that keep it from being admitted; supporting refs must be gated facts (fact_id) or named fact_.
+
+    A falsification is a condition with a test at the same place of falsification_tests; without gated facts a hypothesis
+    has to declare what opposes it or what is unknown.
+    """
     empty = F.array().cast("array<string>")
-    refs = hypotheses.select("hypothesis_id", F.explode(F.concat(F.coalesce("supporting_fact_ids", empty), F.coalesce("opposing_fact_ids", empty))).alias("fact_id"))
+    given = lambda c: F.coalesce(F.col(c), empty) if c in hypotheses.columns else empty
+    refs = hypotheses.select("hypothesis_id", F.explode(F.concat(given("supporting_fact_ids"), given("opposing_fact_ids"))).alias("fact_id")).where(~F.startswith("fact_id", F.lit("fact_")))
     loose = refs.join(facts.select("fact_id").distinct(), "fact_id", "left_anti").groupBy("hypothesis_id").agg(F.count(F.lit(1)).alias("n_loose"))
     joined = hypotheses.join(loose, "hypothesis_id", "left")
-    none = lambda c: F.size(F.coalesce(c, empty)) == 0
+    none = lambda c: F.size(given(c)) == 0
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    gated = F.lit(not facts.isEmpty())
+    untested = F.exists(given("falsifications"), blank)
+    if "falsification_tests" in hypotheses.columns:
+        untested = untested | (F.size(given("falsification_tests")) < F.size(given("falsifications"))) | F.exists(given("falsification_tests"), blank)
     rules = [
-        (F.trim(F.coalesce("statement", F.lit(""))) == "", "empty statement"), (none("falsifications"), "no falsification condition"), (none("alternative_explanations"), "no alternative explanation"),
-        (F.trim(F.coalesce("next_test", F.lit(""))) == "", "no next test"), (F.coalesce("n_loose", F.lit(0)) > 0, "refers to facts that were not gated"),
+        (~gated & none("opposing_fact_ids") & none("unknowns"), "no gated facts, and neither opposition nor unknowns declared"), (blank(F.col("statement")), "empty statement"), (none("falsifications"), "no falsification condition"),
+        (untested, "falsification without condition or test"), (blank(F.col("next_test")), "no next test"), (none("alternative_explanations"), "no alternative explanation"), (F.coalesce("n_loose", F.lit(0)) > 0, "refers to facts that were not gated"),
     ]
     return joined.select("hypothesis_id", violations(rules).alias("problems"))
 

@@ -1,6 +1,6 @@
 """Trust plane: contradictions, patterns, fact gate, fusion, claim states. Groups are found by partial aggregation.
 
-Observations have subject_id, predicate, value, evidence_id, source_id, observed_at. Null values group as "".
+Observations have subject_id, predicate, value, evidence_id, source_id, observed_at. A null value counts as "".
 """
 
 from __future__ import annotations
@@ -24,6 +24,15 @@ def canonical(value: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), r"\.+$", "")
 
 
+def canonical_list(values: Column) -> Column:
+    """A list value as text: its items canonical, in order, joined by a bar; null is ""."""
+    return F.coalesce(F.array_join(F.array_sort(F.transform(values, canonical)), "|"), F.lit(""))
+
+
+def given(value: str) -> Column:
+    return F.coalesce(F.col(value), F.lit(""))
+
+
 def consequential(predicate: Column) -> Column:
     return F.lower(F.coalesce(predicate, F.lit(""))).rlike("|".join(CONSEQUENTIAL))
 
@@ -41,7 +50,7 @@ def stale(predicate: Column, seen: Column, now: dt.datetime) -> Column:
 def contradictions(obs: DataFrame) -> DataFrame:
     """subject, predicate, kind, n_values, n_sources, n_rows for each subject and predicate (case ignored) with several values."""
     groups = obs.groupBy(F.lower("subject_id").alias("subject"), F.lower("predicate").alias("predicate")).agg(
-        F.countDistinct(F.lower(F.trim("value"))).alias("n_values"), F.countDistinct("source_id").alias("n_sources"), F.count(F.lit(1)).alias("n_rows")
+        F.countDistinct(F.lower(F.trim(given("value")))).alias("n_values"), F.countDistinct("source_id").alias("n_sources"), F.count(F.lit(1)).alias("n_rows")
     )
     kind = F.when(F.col("predicate").rlike("date|time|valid|created|updated"), "temporal").when(F.col("n_sources") > 1, "source_disagreement").otherwise("value")
     return groups.where("n_values > 1").select("subject", "predicate", kind.alias("kind"), "n_values", "n_sources", "n_rows")
@@ -49,7 +58,7 @@ def contradictions(obs: DataFrame) -> DataFrame:
 
 def shared_values(obs: DataFrame) -> DataFrame:
     """Values that two subjects or more have for a predicate."""
-    groups = obs.groupBy("predicate", "value").agg(F.countDistinct("subject_id").alias("n_subjects"), F.countDistinct("evidence_id").alias("n_evidence"))
+    groups = obs.groupBy("predicate", given("value").alias("value")).agg(F.countDistinct("subject_id").alias("n_subjects"), F.countDistinct("evidence_id").alias("n_evidence"))
     return groups.where("n_subjects >= 2").withColumn("strength", F.least(F.lit(1.0), F.col("n_subjects") / 5.0))
 
 
@@ -61,7 +70,7 @@ def temporal_coincidence(obs: DataFrame) -> DataFrame:
 
 def repetition(obs: DataFrame) -> DataFrame:
     """Claims that occur three times or more, from two sources or more."""
-    groups = obs.groupBy(F.col("subject_id").alias("subject"), "predicate", "value").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source_id").alias("n_sources"))
+    groups = obs.groupBy(F.col("subject_id").alias("subject"), "predicate", given("value").alias("value")).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source_id").alias("n_sources"))
     return groups.where("n_rows >= 3 AND n_sources >= 2").withColumn("strength", F.least(F.lit(1.0), F.col("n_rows") / 5.0))
 
 
@@ -102,7 +111,7 @@ def fact_summary(gate: DataFrame) -> DataFrame:
 def fusion_statements(obs: DataFrame) -> DataFrame:
     """One statement for each subject and predicate: a fact, an observation, or unknown where values differ."""
     groups = obs.groupBy(F.col("subject_id").alias("subject"), "predicate").agg(
-        F.countDistinct("value").alias("n_values"), F.countDistinct("source_id").alias("n_clusters"), F.count("evidence_id").alias("n_evidence")
+        F.countDistinct(given("value")).alias("n_values"), F.countDistinct("source_id").alias("n_clusters"), F.count("evidence_id").alias("n_evidence")
     )
     stype = F.when(F.col("n_values") != 1, "unknown").when(F.col("predicate").isin(*FACT_PREDICATES) & (F.col("n_evidence") > 0), "fact").otherwise("observation")
     confidence = F.when(F.col("n_values") != 1, "unrated").when(F.col("n_clusters") >= 2, "high").otherwise("moderate")
@@ -121,7 +130,7 @@ def insights(obs: DataFrame) -> DataFrame:
 def claim_states(obs: DataFrame) -> DataFrame:
     """The state of the claim for each subject and predicate, by distinct values and independent sources."""
     groups = obs.groupBy(F.col("subject_id").alias("subject"), "predicate").agg(
-        F.countDistinct("value").alias("n_values"), F.countDistinct(F.when(F.col("evidence_id").isNotNull(), F.col("source_id"))).alias("sources"),
+        F.countDistinct(given("value")).alias("n_values"), F.countDistinct(F.when(F.col("evidence_id").isNotNull(), F.col("source_id"))).alias("sources"),
         F.countDistinct("evidence_id").alias("n_evidence"), F.bool_and(F.col("evidence_id").isNotNull()).alias("all_evidence"),
     )
     independent = F.greatest(F.lit(1).cast("long"), F.col("sources"))

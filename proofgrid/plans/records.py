@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import bearing, haversine
 from ..operators import analysis, graph, ledger
 from ..sources.adapters import TWINS, payments, place_edges
 from ..sources.tables import read
 
-#: Places that a nearest-neighbour search holds as one literal array; more go through grid cells.
-MOST_PLACES = 10_000
-
-
 def payment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.merged(payments(spark, sf_dir)).select("tx_key", "cents", "currency", "status", "verification_state", "n_evidence", "n_suppressed")
 
@@ -124,17 +119,6 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select(key.cast("long").alias("nation_id"), ((key * 37) % 140 - 70).cast("double").alias("lat"), ((key * 73) % 360 - 180).cast("double").alias("lon"))
 
 
-def haversine_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each nation the nearest other one. Places are a dimension of checked size, held as one array."""
-    rows = places(spark, sf_dir)
-    if rows.count() > MOST_PLACES:
-        raise ValueError(f"more than {MOST_PLACES} places")
-    known = rows.agg(F.collect_list(F.struct("nation_id", "lat", "lon"))).scalar()
-    away = lambda p: haversine(F.col("lat"), F.col("lon"), p["lat"], p["lon"])
-    others = F.transform(F.filter("known", lambda p: p["nation_id"] != F.col("nation_id")), lambda p: F.struct(F.round(away(p), 3).alias("distance_m"), p["nation_id"].alias("nearest_id"), F.round(bearing(F.col("lat"), F.col("lon"), p["lat"], p["lon"]), 4).alias("bearing_deg")))
-    return rows.withColumn("known", known).withColumn("near", F.array_min(others)).select("nation_id", "near.nearest_id", "near.distance_m", "near.bearing_deg")
-
-
 def competing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers that share two parts or more of the same order: hypotheses that share entities."""
     lines = read(spark, sf_dir, "lineitem").select(F.concat_ws(":", F.col("l_orderkey").cast("string"), (F.col("l_partkey") % 3).cast("string")).alias("entity"), F.col("l_suppkey").alias("h")).distinct()
@@ -164,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         payment_dedup, payment_totals, payment_buckets, identifier_intake, interval_overlap, edges_at_time, graph_neighbors, khop, shortest_path, connected_components, dag_waves, bounded_trace, schema_profile, snapshot_diff,
-        er_pairs, haversine_nearest, competing_pairs, category_rollup, top_orders, progress,
+        er_pairs, competing_pairs, category_rollup, top_orders, progress,
     )
 }
 _PROFILE = " UNION ALL ".join(
@@ -174,11 +158,6 @@ _PROFILE = " UNION ALL ".join(
 )
 _INTERVALS = """WITH i AS (SELECT o_orderkey AS id, o_custkey AS cust, o_orderstatus AS kind, o_orderdate AS f, greatest(o_orderdate, coalesce(max(l_shipdate), o_orderdate)) AS l
     FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey, o_orderstatus, o_orderdate) """
-_NEAR = """WITH p AS (SELECT n_nationkey::BIGINT AS id, ((n_nationkey * 37) % 140 - 70)::DOUBLE AS lat, ((n_nationkey * 73) % 360 - 180)::DOUBLE AS lon FROM nation),
-    d AS (SELECT a.id AS nation_id, b.id AS nearest_id, round(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 3) AS distance_m,
-      round((degrees(atan2(sin(radians(b.lon - a.lon)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon - a.lon)))) + 360) % 360, 4) AS bearing_deg
-      FROM p a JOIN p b ON a.id <> b.id) """
-
 ORACLES = {
     "payment_dedup": TWINS["payments"] + "SELECT tx_key, cents, currency, status, verification_state, n_evidence, n_suppressed FROM merged",
     "payment_totals": TWINS["payments"]
@@ -214,7 +193,6 @@ ORACLES = {
     "snapshot_diff": """WITH s AS (SELECT o_custkey AS key, arg_max(o_orderstatus, {'d': o_orderdate, 'k': o_orderkey}) FILTER (year(o_orderdate) BETWEEN 1995 AND 1997) AS old_value,
         arg_max(o_orderstatus, {'d': o_orderdate, 'k': o_orderkey}) FILTER (year(o_orderdate) BETWEEN 1996 AND 1998) AS new_value FROM orders GROUP BY 1)
         SELECT key, CASE WHEN old_value IS NULL THEN 'added' WHEN new_value IS NULL THEN 'removed' ELSE 'changed' END AS change_kind, old_value, new_value FROM s WHERE old_value IS DISTINCT FROM new_value""",
-    "haversine_nearest": _NEAR + "SELECT nation_id, nearest_id, distance_m, bearing_deg FROM d QUALIFY row_number() OVER (PARTITION BY nation_id ORDER BY distance_m, nearest_id) = 1",
     "competing_pairs": """WITH x AS (SELECT DISTINCT l_orderkey || ':' || (l_partkey % 3) AS e, l_suppkey AS h FROM lineitem)
         SELECT a.h AS left_id, b.h AS right_id, count(*) AS n_shared FROM x a JOIN x b ON a.e = b.e AND a.h < b.h GROUP BY 1, 2 HAVING count(*) >= 2""",
     "category_rollup": "SELECT p_brand, p_type, count(*) AS n, grouping(p_brand, p_type)::INTEGER AS level FROM part GROUP BY ROLLUP (p_brand, p_type)",

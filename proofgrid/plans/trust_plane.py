@@ -71,7 +71,8 @@ def hypothesis_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = events.groupBy(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("hypothesis_id")).agg(
         F.count_if("supports").alias("n"), F.count_if(~F.col("supports")).alias("against"), F.countDistinct(F.when(F.col("supports"), F.col("event_id") % 7)).alias("independent"), F.round(F.coalesce(F.avg(fresh), F.lit(0.0)), 6).alias("fresh")
     )
-    score = hypothesis_score(F.least(F.lit(1.0), F.col("n") / 5.0), F.col("independent"), F.when(F.col("against") > 0, 0.7).otherwise(1.0), F.col("fresh"), F.when(F.col("n") > 0, 1.0).otherwise(0.0))
+    severity = F.col("against") / (F.col("n") + F.col("against"))
+    score = hypothesis_score(F.least(F.lit(1.0), F.col("n") / 5.0), F.col("independent"), F.when(F.col("against") > 0, 0.7).otherwise(1.0), F.col("fresh"), F.when(F.col("n") > 0, 1.0).otherwise(0.0), contradiction=severity)
     rounded = sums.withColumn("raw_score", F.round(score, 5))
     return rounded.select("hypothesis_id", "raw_score", band(F.col("raw_score")).alias("band"))
 
@@ -113,8 +114,9 @@ def confidence_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incident_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's timeline: undated events last, superseded ones (each fiftieth) left out."""
-    events = read(spark, sf_dir, "events").where(F.col("event_id") % 50 != 0).withColumn("at", F.when(F.col("event_id") % 97 != 0, F.col("ts")))
+    """Each user's timeline: undated events last; of a user's events of one kind and hour the later supersede the earlier, which are left out."""
+    versions = Window.partitionBy("user_id", "event_type", F.date_trunc("hour", "ts")).orderBy("event_id")
+    events = read(spark, sf_dir, "events").withColumn("next", F.lead("event_id").over(versions)).where("next IS NULL").withColumn("at", F.when(F.col("event_id") % 97 != 0, F.col("ts")))
     order = Window.partitionBy("user_id").orderBy(F.col("at").asc_nulls_last(), "event_id")
     return events.select(
         F.col("user_id").alias("case_id"), F.row_number().over(order).alias("seq"), "event_id", F.col("event_type").alias("stage"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("event_time"), F.when(F.col("value") >= 50, "documented").otherwise("reported").alias("epistemic_class")
@@ -122,10 +124,10 @@ def incident_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dual_pass_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two passes over a user's events: the claims of the first half of the ids' residues, and of the second."""
+    """Two passes over a user's events: the claims of the first four of their ids' eight residues, and of the last four."""
     events = read(spark, sf_dir, "events")
     one = lambda keep: events.where(keep).groupBy(F.col("user_id").alias("item_id")).agg(F.collect_set(F.concat_ws(":", "event_type", F.floor(F.col("value") / 25).cast("string"))).alias("claims"))
-    return analysis.dual_pass(one(F.col("event_id") % 8 == 0), one(F.col("event_id") % 8 == 1))
+    return analysis.dual_pass(one(F.col("event_id") % 8 < 4), one(F.col("event_id") % 8 >= 4))
 
 
 def hypothesis_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,23 +166,23 @@ QUERIES = {
 ORACLES = {
     "contradictions": f"""{_OBS} SELECT lower(subject) AS subject, lower(predicate) AS predicate,
         CASE WHEN regexp_matches(lower(predicate), 'date|time|valid|created|updated') THEN 'temporal' WHEN count(DISTINCT source_id) > 1 THEN 'source_disagreement' ELSE 'value' END AS kind,
-        count(DISTINCT lower(trim(value))) AS n_values, count(DISTINCT source_id) AS n_sources, count(*) AS n_rows
-        FROM obs GROUP BY 1, 2 HAVING count(DISTINCT lower(trim(value))) > 1""",
-    "shared_values": f"""{_OBS} SELECT predicate, value, count(DISTINCT subject) AS n_subjects, count(DISTINCT evidence_id) AS n_evidence, least(1.0, count(DISTINCT subject) / 5.0)::DOUBLE AS strength
-        FROM obs GROUP BY ALL HAVING count(DISTINCT subject) >= 2""",
+        count(DISTINCT lower(trim(coalesce(value, '')))) AS n_values, count(DISTINCT source_id) AS n_sources, count(*) AS n_rows
+        FROM obs GROUP BY 1, 2 HAVING count(DISTINCT lower(trim(coalesce(value, '')))) > 1""",
+    "shared_values": f"""{_OBS} SELECT predicate, coalesce(value, '') AS value, count(DISTINCT subject) AS n_subjects, count(DISTINCT evidence_id) AS n_evidence, least(1.0, count(DISTINCT subject) / 5.0)::DOUBLE AS strength
+        FROM obs GROUP BY 1, 2 HAVING count(DISTINCT subject) >= 2""",
     "temporal_coincidence": f"""{_OBS} SELECT subject, strftime(observed_at, '%Y-%m-%d') AS day, count(DISTINCT predicate) AS n_predicates, round(least(1.0, count(DISTINCT predicate) / 6.0::DOUBLE), 6)::DOUBLE AS strength
         FROM obs GROUP BY 1, 2 HAVING count(DISTINCT predicate) >= 3""",
-    "repetition": f"""{_OBS} SELECT subject, predicate, value, count(*) AS n_rows, count(DISTINCT source_id) AS n_sources, least(1.0, count(*) / 5.0)::DOUBLE AS strength
+    "repetition": f"""{_OBS} SELECT subject, predicate, coalesce(value, '') AS value, count(*) AS n_rows, count(DISTINCT source_id) AS n_sources, least(1.0, count(*) / 5.0)::DOUBLE AS strength
         FROM obs GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND count(DISTINCT source_id) >= 2""",
     "fact_gate": f"{_GATE} SELECT * FROM gate",
     "fact_summary": f"{_GATE} SELECT outcome, count(*) AS n_records, count(DISTINCT subject) AS n_subjects FROM gate GROUP BY 1",
     "fusion_statements": f"""{_NAMED} SELECT subject, predicate,
-        CASE WHEN count(DISTINCT value) <> 1 THEN 'unknown' WHEN predicate IN {trust.FACT_PREDICATES} AND count(evidence_id) > 0 THEN 'fact' ELSE 'observation' END AS stype,
-        CASE WHEN count(DISTINCT value) <> 1 THEN 'unrated' WHEN count(DISTINCT source_id) >= 2 THEN 'high' ELSE 'moderate' END AS confidence, count(DISTINCT source_id) AS n_clusters FROM obs GROUP BY 1, 2""",
+        CASE WHEN count(DISTINCT coalesce(value, '')) <> 1 THEN 'unknown' WHEN predicate IN {trust.FACT_PREDICATES} AND count(evidence_id) > 0 THEN 'fact' ELSE 'observation' END AS stype,
+        CASE WHEN count(DISTINCT coalesce(value, '')) <> 1 THEN 'unrated' WHEN count(DISTINCT source_id) >= 2 THEN 'high' ELSE 'moderate' END AS confidence, count(DISTINCT source_id) AS n_clusters FROM obs GROUP BY 1, 2""",
     "insights": f"""{_NAMED} SELECT 'shared hosting context' AS title, value AS subject_or_value, count(DISTINCT subject) AS n_members, (SELECT count(DISTINCT source_id) FROM obs) AS n_clusters
         FROM obs WHERE predicate = 'resolves_to' GROUP BY value HAVING count(DISTINCT subject) >= 2 UNION ALL
         SELECT 'repeated but dependent sources', subject || ' ' || predicate, count(*), count(DISTINCT source_id) FROM obs GROUP BY subject, predicate HAVING count(*) >= 3 AND count(DISTINCT source_id) <= 1""",
-    "claim_states": f"""{_OBS}, g AS (SELECT subject, predicate, count(DISTINCT value) AS v, greatest(1, count(DISTINCT CASE WHEN evidence_id IS NOT NULL THEN source_id END)) AS n_independent,
+    "claim_states": f"""{_OBS}, g AS (SELECT subject, predicate, count(DISTINCT coalesce(value, '')) AS v, greatest(1, count(DISTINCT CASE WHEN evidence_id IS NOT NULL THEN source_id END)) AS n_independent,
         count(DISTINCT evidence_id) AS n_evidence, bool_and(evidence_id IS NOT NULL) AS every FROM obs GROUP BY 1, 2)
         SELECT subject, predicate, CASE WHEN v > 1 THEN 'DISPUTED' WHEN n_independent >= 2 THEN 'SUPPORTED' WHEN every THEN 'PARTIALLY_SUPPORTED' ELSE 'INCONCLUSIVE' END AS claim, n_independent, n_evidence FROM g""",
     "ach_matrix": f"""WITH users AS (SELECT user_id, count(*) AS n, round(sum(round(value * 100)::BIGINT) / 100.0::DOUBLE / count(*), 4) AS weight, {", ".join(f"count_if(event_type = '{t}') AS n_{t}" for t in TYPES)} FROM events GROUP BY user_id),
@@ -190,7 +192,7 @@ ORACLES = {
         count(DISTINCT CASE WHEN supports THEN event_id % 7 END) AS independent,
         round(coalesce(avg(CASE WHEN supports THEN exp(greatest((epoch_us(TIMESTAMP '2024-02-05') - epoch_us(ts)) / 86.4e9, 0.0) * (-ln(2) / 30.0)) END), 0.0), 6) AS fresh FROM e GROUP BY 1),
         r AS (SELECT hypothesis_id, round(greatest(0.0, least(1.0, 0.3 * least(1.0::DOUBLE, n / 5.0) + 0.2 * least(1.0::DOUBLE, independent / 3.0) + 0.15 * (CASE WHEN against > 0 THEN 0.7 ELSE 1.0 END)::DOUBLE + 0.15 + 0.1 * fresh
-          + 0.05 * (CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE))::DOUBLE, 5) AS raw_score FROM s)
+          + 0.05 * (CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE - 0.1 * (against / (n + against))))::DOUBLE, 5) AS raw_score FROM s)
         SELECT hypothesis_id, raw_score, CASE WHEN raw_score < 0.2 THEN 'very_low' WHEN raw_score < 0.4 THEN 'low' WHEN raw_score < 0.6 THEN 'moderate' WHEN raw_score < 0.8 THEN 'high' ELSE 'very_high' END AS band FROM r""",
     "ioc_freshness": f"""WITH s AS (SELECT CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in INDICATOR.items())} END AS kind, user_id, min(ts) AS f, max(ts) AS l FROM events GROUP BY 1, 2),
         a AS (SELECT *, floor((epoch_us(TIMESTAMP '2024-03-10') - epoch_us(l)) / 86.4e9)::BIGINT AS age_days, CASE kind WHEN 'ipv4' THEN 30 WHEN 'ipv6' THEN 30 WHEN 'domain' THEN 60 WHEN 'url' THEN 45 ELSE 3650 END AS ttl FROM s)
@@ -202,12 +204,16 @@ ORACLES = {
     "confidence_combine": """SELECT user_id || ':' || event_type AS claim_id, round(1 - product(1 - greatest(0.0, least(1.0, value / 1000))), 6)::DOUBLE AS noisy_or, round(avg(greatest(0.0, least(1.0, value / 1000))), 6)::DOUBLE AS mean,
         round(min(greatest(0.0, least(1.0, value / 1000))), 6)::DOUBLE AS weakest FROM events GROUP BY 1""",
     "incident_order": """SELECT user_id AS case_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 97 <> 0 THEN ts END ASC NULLS LAST, event_id)::INTEGER AS seq, event_id, event_type AS stage,
-        strftime(CASE WHEN event_id % 97 <> 0 THEN ts END, '%Y-%m-%d %H:%M:%S') AS event_time, CASE WHEN value >= 50 THEN 'documented' ELSE 'reported' END AS epistemic_class FROM events WHERE event_id % 50 <> 0""",
-    "dual_pass_review": """WITH c AS (SELECT DISTINCT user_id AS item_id, event_id % 8 AS pass, event_type || ':' || floor(value / 25)::BIGINT AS claim FROM events WHERE event_id % 8 IN (0, 1)),
-        k AS (SELECT item_id, claim, bool_or(pass = 0) AS a, bool_or(pass = 1) AS b FROM c GROUP BY 1, 2),
-        n AS (SELECT item_id, count_if(a AND b)::INTEGER AS common, count_if(a AND NOT b)::INTEGER AS only_first, count_if(b AND NOT a)::INTEGER AS only_second FROM k GROUP BY 1)
-        SELECT item_id, CASE WHEN common + only_second = 0 THEN 'FIRST_ONLY' WHEN common + only_first = 0 THEN 'SECOND_ONLY' WHEN only_first = 0 AND only_second = 0 THEN 'AGREE' WHEN common = 0 THEN 'DISAGREE' ELSE 'PARTIAL' END AS verdict,
-        common, only_first, only_second FROM n""",
+        strftime(CASE WHEN event_id % 97 <> 0 THEN ts END, '%Y-%m-%d %H:%M:%S') AS event_time, CASE WHEN value >= 50 THEN 'documented' ELSE 'reported' END AS epistemic_class FROM (SELECT * FROM events QUALIFY lead(event_id) OVER (PARTITION BY user_id, event_type, date_trunc('hour', ts) ORDER BY event_id) IS NULL)""",
+    "dual_pass_review": """WITH c AS (SELECT DISTINCT user_id AS item_id, event_id % 8 < 4 AS first, event_type || ':' || floor(value / 25)::BIGINT AS claim FROM events),
+        k AS (SELECT item_id, claim, bool_or(first) AS a, bool_or(NOT first) AS b FROM c GROUP BY 1, 2),
+        s AS (SELECT x.item_id, x.a AS xa, bool_or((contains(x.claim, y.claim) OR contains(y.claim, x.claim)) AND CASE WHEN x.a THEN y.b ELSE y.a END) AS held FROM k x JOIN k y USING (item_id) GROUP BY x.item_id, x.claim, x.a),
+        n AS (SELECT item_id, count_if(a AND b)::INTEGER AS common, count_if(a AND NOT b)::INTEGER AS only_first, count_if(b AND NOT a)::INTEGER AS only_second FROM k GROUP BY 1),
+        m AS (SELECT p.item_id, p.mine, bool_and(p.met) AS held FROM (SELECT x.item_id, m.mine, x.claim, bool_or((contains(x.claim, y.claim) OR contains(y.claim, x.claim)) AND CASE m.mine WHEN 'a' THEN y.b ELSE y.a END) AS met
+          FROM k x JOIN (SELECT unnest(['a', 'b']) AS mine) m ON CASE m.mine WHEN 'a' THEN x.a ELSE x.b END JOIN k y USING (item_id) GROUP BY 1, 2, 3) p GROUP BY 1, 2),
+        v AS (SELECT n.*, coalesce((SELECT held FROM m WHERE m.item_id = n.item_id AND m.mine = CASE WHEN n.common + n.only_first >= n.common + n.only_second THEN 'b' ELSE 'a' END), false) AS within FROM n)
+        SELECT item_id, CASE WHEN common + only_second = 0 THEN 'FIRST_ONLY' WHEN common + only_first = 0 THEN 'SECOND_ONLY' WHEN only_first = 0 AND only_second = 0 THEN 'AGREE' WHEN common = 0 THEN 'DISAGREE' WHEN within THEN 'SEMANTIC' ELSE 'PARTIAL' END AS verdict,
+        common, only_first, only_second FROM v""",
     "hypothesis_templates": f"""{_NAMED}, s AS (SELECT 'shared_ip:' || value AS basis, count(DISTINCT subject) AS n_entities FROM obs WHERE predicate = 'resolves_to' GROUP BY 1 HAVING count(DISTINCT subject) >= 2),
         i AS (SELECT 'identity:' || subject AS basis, count(DISTINCT value) AS n_entities FROM obs WHERE predicate = 'same_person_as' GROUP BY 1)
         SELECT basis, n_entities, unnest(['common operator', 'shared hosting', 'CDN or proxy', 'reassigned address', 'measurement error']) AS template FROM s

@@ -60,7 +60,7 @@ def address_facts(responses: DataFrame) -> DataFrame:
 def snapshots(responses: DataFrame) -> DataFrame:
     """Archive index: a header row, then rows; timestamp and original by their place in the header."""
     table = F.from_json("body", "array<array<string>>")
-    found = responses.withColumn("head", F.get(table, 0)).withColumn("lines", F.slice(table, 2, 1_000_000))
+    found = responses.withColumn("head", F.get(table, 0)).withColumn("lines", F.filter(table, lambda _, k: k > 0))
     at = lambda row, name, other: F.get(row, F.coalesce(F.nullif(F.array_position("head", name), F.lit(0)) - 1, F.lit(other)).cast("int"))
     return rows(found, "archive.snapshot", F.transform("lines", lambda row: F.concat_ws(" ", at(row, "timestamp", 1), at(row, "original", 2))))
 
