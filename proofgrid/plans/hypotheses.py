@@ -27,7 +27,7 @@ def links(spark: SparkSession, sf_dir: str, until: dt.datetime | None = None) ->
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("evidence_id"), (F.col("event_id") % 7).alias("source_id"), (F.col("value") / 400).alias("authority"), F.col("ts").alias("seen"))
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("evidence_id"), (F.col("event_id") % 7).alias("source_id"), (F.col("value") / 397.3).alias("authority"), F.col("ts").alias("seen"))
 
 
 def heads(spark: SparkSession, sf_dir: str, until: dt.datetime | None = None) -> DataFrame:
@@ -196,7 +196,7 @@ _ALT = """, alt AS (SELECT event_type || ':' || user_id AS hypothesis_id, round(
 def _scores(name: str, where: str) -> str:
     """CTEs that end in a table `name` of scores of the events of a WHERE."""
     return f""",
-      {name}_e AS (SELECT event_type || ':' || user_id AS hypothesis_id, value >= 10 AS s, event_id % 7 AS source_id, value / 400 AS authority, exp(greatest((epoch_us(TIMESTAMP '2024-02-05') - epoch_us(ts)) / 86.4e9, 0.0) * (-ln(2) / 30.0)) AS fr FROM events WHERE {where}),
+      {name}_e AS (SELECT event_type || ':' || user_id AS hypothesis_id, value >= 10 AS s, event_id % 7 AS source_id, value / 397.3::DOUBLE AS authority, exp(greatest((epoch_us(TIMESTAMP '2024-02-05') - epoch_us(ts)) / 86.4e9, 0.0) * (-ln(2) / 30.0)) AS fr FROM events WHERE {where}),
       {name}_a AS (SELECT hypothesis_id, count_if(s)::BIGINT AS n_support, count_if(NOT s)::BIGINT AS n_oppose, round(coalesce(avg(CASE WHEN s THEN authority END), 0.0), 3) AS authority, count(DISTINCT CASE WHEN s THEN source_id END) AS independent,
         round(coalesce(avg(CASE WHEN s THEN fr END), 0.0), 6) AS fresh FROM {name}_e GROUP BY 1),
       {name}_c AS (SELECT hypothesis_id, round(avg(CASE WHEN EXISTS (SELECT 1 FROM {name}_e e WHERE e.hypothesis_id = r.hypothesis_id AND e.source_id = r.source_id AND e.s) THEN 1.0 ELSE 0.0 END), 3) AS share FROM (SELECT DISTINCT hypothesis_id, source_id FROM req) r GROUP BY 1),

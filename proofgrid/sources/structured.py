@@ -53,9 +53,9 @@ def delimited_cells(rows: DataFrame, key: str, text: Column) -> DataFrame:
 
     A first line whose cells are all words, and not numbers, is the header; without one, columns have the names c0, c1 and so on.
     """
-    sign = F.create_map(*[x for name, d in DELIMITERS.items() for x in (F.lit(name), F.lit(d))])
-    split = rows.select(key, F.element_at(sign, F.coalesce(delimiter_of(text), F.lit("comma"))).alias("d"), F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    cut = split.select(key, F.transform("lines", lambda x: F.split(x, F.concat(F.lit("\\Q"), F.col("d"), F.lit("\\E")))).alias("cells"))
+    split = rows.select(key, F.coalesce(delimiter_of(text), F.lit("comma")).alias("d"), F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
+    by = [F.when(F.col("d") == name, F.transform("lines", lambda x, d=d: F.split(x, f"[{d}]"))) for name, d in DELIMITERS.items()]
+    cut = split.select(key, F.coalesce(*by).alias("cells"))
     header = F.forall(F.col("cells")[0], lambda c: c.rlike(r"^[A-Za-z_][A-Za-z0-9_ -]*$"))
     named = cut.where(F.size("cells") > 0).withColumn("has_header", header).withColumn("names", F.col("cells")[0])
     lines = named.select(key, "has_header", "names", F.posexplode("cells").alias("line_no", "line")).where("NOT (has_header AND line_no = 0)")
