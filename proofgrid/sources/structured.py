@@ -48,14 +48,25 @@ def delimiter_of(text: Column) -> Column:
     return F.when(best["n"] > 0, best["name"])
 
 
+def cells_of(line: Column, delimiter: str) -> Column:
+    """The cells of a line: a delimiter within quotes belongs to its cell, quotes go, a doubled one stays once."""
+    raw = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(rf'[{delimiter}](\s*"(?:[^"]|"")*"[^{delimiter}]*|[^{delimiter}]*)'), F.lit(1))
+    return F.transform(raw, lambda c: F.when(F.ltrim(c).startswith('"'), F.replace(F.regexp_replace(c, r'^\s*"((?:[^"]|"")*)"', "$1"), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def delimited_cells(rows: DataFrame, key: str, text: Column) -> DataFrame:
     """key, line_no, column_no, name, value of delimited texts, whole: the delimiter is found for each text.
 
-    A first line whose cells are all words, and not numbers, is the header; without one, columns have the names c0, c1 and so on.
+    A first line whose cells are all words, and not numbers, is the header; without one, columns have the names c0, c1 and
+    so on. Blank lines don't count. A line may have fewer cells than the header, or more: those have no name (null). A null
+    or empty text has no cells.
     """
     split = rows.select(key, F.coalesce(delimiter_of(text), F.lit("comma")).alias("d"), F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    by = [F.when(F.col("d") == name, F.transform("lines", lambda x, d=d: F.split(x, f"[{d}]"))) for name, d in DELIMITERS.items()]
-    cut = split.select(key, F.coalesce(*by).alias("cells"))
+
+    def cut_at(delimiter: str):
+        return lambda line: cells_of(line, delimiter)
+
+    cut = split.select(key, F.coalesce(*[F.when(F.col("d") == name, F.transform("lines", cut_at(d))) for name, d in DELIMITERS.items()]).alias("cells"))
     header = F.forall(F.col("cells")[0], lambda c: c.rlike(r"^[A-Za-z_][A-Za-z0-9_ -]*$"))
     named = cut.where(F.size("cells") > 0).withColumn("has_header", header).withColumn("names", F.col("cells")[0])
     lines = named.select(key, "has_header", "names", F.posexplode("cells").alias("line_no", "line")).where("NOT (has_header AND line_no = 0)")
