@@ -170,15 +170,17 @@ class PieceModel:
             begin = end
         return out
 
-    def checked(self, stretches: list[str], ids: list[list[int]]) -> None:
-        """Raises unless the library gives the same ids. It puts U+2581 before what it is given, which stands for a stretch's own first space."""
+    def by_library(self, stretches: list[str]) -> list[list[int]]:
+        """The library's ids of stretches. It puts U+2581 before what it is given, which stands for a stretch's own first space."""
         spaced = [s.startswith(" ") for s in stretches]
-        theirs = self.library.encode([s[1:] if x else s for s, x in zip(stretches, spaced, strict=True)], num_threads=1)
-        alone = self.of_char[ord(SPACE)]
-        for s, x, own, other in zip(stretches, spaced, ids, theirs, strict=True):
-            want = own if x else [alone, *own]
-            if want != other and not (x and len(s) == 1 and not other):
-                raise ValueError(f"{s!r}: the agenda gives {want}, the library {other}")
+        found = self.library.encode([s[1:] if x else s for s, x in zip(stretches, spaced, strict=True)], num_threads=1)
+        return [(ids if len(s) > 1 else [int(self.of_char[ord(SPACE)])]) if x else ids[1:] for s, x, ids in zip(stretches, spaced, found, strict=True)]
+
+    def checked(self, stretches: list[str], ids: list[list[int]]) -> None:
+        """Raises unless the library gives the same ids."""
+        for s, own, other in zip(stretches, ids, self.by_library(stretches), strict=True):
+            if own != other:
+                raise ValueError(f"{s!r}: the agenda gives {own}, the library {other}")
 
 
 class PieceTokenizer:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, html_extract, license_scan, mixing, near_dedup, packing, pieces, quality, token_store, warc
+from . import alignment, exact_dedup, fingerprints, html_extract, license_scan, mixing, near_dedup, packing, pieces, quality, token_store, warc
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_source_mix, op3_quality, op4_warc, op5_fingerprints, op6_near_dedup, op7_license_scan, op8_token_files, op9_html_extract, op10_packing, op11_pieces, pipeline)
+    for f in (op1_exact_dedup, op2_source_mix, op3_quality, op4_warc, op5_fingerprints, op6_near_dedup, op7_license_scan, op8_token_files, op9_html_extract, op10_packing, op11_pieces, op13_alignment, pipeline)
 }
 
 ORACLES = {
