@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, exact_dedup, fingerprints, html_extract, license_scan, mixing, near_dedup, packing, pieces, quality, token_store, warc
+from . import alignment, exact_dedup, fingerprints, hard_negatives, html_extract, license_scan, mixing, near_dedup, packing, pieces, quality, token_store, warc
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_source_mix, op3_quality, op4_warc, op5_fingerprints, op6_near_dedup, op7_license_scan, op8_token_files, op9_html_extract, op10_packing, op11_pieces, op13_alignment, pipeline)
+    for f in (op1_exact_dedup, op2_source_mix, op3_quality, op4_warc, op5_fingerprints, op6_near_dedup, op7_license_scan, op8_token_files, op9_html_extract, op10_packing, op11_pieces, op12_hard_negatives, op13_alignment, pipeline)
 }
 
 ORACLES = {
@@ -77,6 +81,26 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY body) AS kept, text_sha256
         FROM t""",
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.k, a.vec_id AS anchor_id, o.vec_id, o.label = a.label AS same,
+                   coalesce(CAST(list_sum(list_transform(list_zip(a.vec, o.vec), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT), 0) AS score
+            FROM v a JOIN v o ON o.vec_id <> a.vec_id
+            WHERE a.vec_id % 50 = 0),
+        p AS (
+            SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS positive_rank
+            FROM s WHERE same QUALIFY positive_rank <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, CAST(p.positive_rank AS INTEGER) AS positive_rank,
+               CAST(row_number() OVER (PARTITION BY p.k, p.positive_rank ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS "rank",
+               n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s n ON n.k = p.k AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY "rank" <= 3""",
     "op4_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
