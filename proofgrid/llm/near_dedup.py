@@ -7,14 +7,16 @@ same way, for texts with edits so dense that few k-mers survive. Candidates coun
 align with at most (1 - THRESHOLD) * the longer length edits (insert, delete, replace), found by alignment in a band of
 that width. Classes are the connected components of the verified links.
 
-Exact copies (equal words) meet first by digest and byte comparison and are one text from then on. In a bucket of equal
-sketches each text is compared with one leader. Where the others then belong to several classes, further pairs are compared:
-all of a bucket of up to SMALL texts; in larger buckets those that share one of their rarest words with at most SMALL of
-the texts in such buckets; and those that weren't near a leader elect another, up to ROUNDS times, while that finds links.
-A bound that loses none leaves out pairs of too few rare words in common (see rarest_words). So the work grows with the
-rows and not with the square of a bucket. A near pair is missed only if it shares no sketch, or meets in large mixed buckets
-alone and every rare word that it shares is in more than SMALL texts. Leaders are found by partial aggregation; large
-buckets, a bounded number, come to their members by broadcast, so no bucket is gathered in one task.
+Exact copies (equal words) meet first by digest and byte comparison and are one text from then on. A bucket of equal
+sketches whose texts differ in length beyond the threshold is split into overlapping bands of length. In a bucket each text
+is aligned with one leader. Where that leader is near some and not others, or near none, the texts are marked by what they
+have and the leader hasn't: samples of their words, word pairs and pairs of words with one between, all of them in short texts. Texts
+that share MET marks that RARE or fewer of the leader's texts have are compared directly; of marks that more have, each
+text's COMMON rarest make buckets of their own, whose leaders are met and left out in turn, until no pair is left that
+hasn't been compared. So a passage that many share doesn't keep them from meeting by the rest of their words, and work grows
+with the rows, not with the square of a bucket. A near pair is missed only if it shares no sketch, or, in buckets with
+further texts, no such marks of what lies outside their leaders. Leaders are found by partial aggregation; large buckets, a
+bounded number, come to their members by broadcast, so no bucket is gathered in one task.
 
 Different texts are told apart by a number of their own, so that nothing rests on document ids. Nulls, ties and odd input:
 a null text is empty; texts without words are one class of copies; a text of fewer than five words is one k-mer; the
@@ -25,10 +27,8 @@ an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE, chunks, mix, shingle_hashes, stored, text_or_empty, word_hashes
@@ -38,10 +38,10 @@ FINE_K, FINE_SKETCHES = 2, 32
 #: A bucket is large if it has more rows than LARGE and more than one of MOST_LARGE parts of all: so MOST_LARGE of them are
 #: broadcast at most, and no other has rows enough to hold up a task.
 LARGE, MOST_LARGE = 1000, 20_000
-#: Bins of word hashes by which words are ordered from rare to common.
-BINS = 1 << 17
-#: Up to so many texts of a bucket or a word are paired directly; members of larger buckets elect new leaders so often.
-SMALL, ROUNDS = 16, 3
+#: Marks of each kind of a text at most, beside a leader. A text with fewer word pairs than FEW is also marked by what it lacks.
+MARKS, FEW = 40, 16
+#: Texts of a leader that share MET marks which RARE or fewer have are compared; of other marks COMMON are followed for each text.
+RARE, MET, COMMON = 32, 2, 6
 _LARGEST = np.uint64((1 << 64) - 1)
 
 
@@ -85,48 +85,43 @@ def shared_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(n[i], m[j]).sum())
 
 
-def matching_run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
-    """How many words from a[i] and b[j] on are equal."""
-    most, n, step = min(len(a) - i, len(b) - j), 0, 16
-    while n < most:
-        end = min(n + step, most)
-        same = a[i + n : i + end] == b[j + n : j + end]
-        if not same.all():
-            return n + int(same.argmin())
-        n, step = end, step * 4
-    return n
-
-
 def banded_edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """The least number of word edits that turn a into b if it is at most `most`, else None.
 
-    Only diagonals within the band are followed: after e edits, reach[d] is the furthest word of a on the diagonal
-    j - i = d - middle; it comes from the three diagonals beside it and runs on over equal words.
+    Only the band of cells within `most` of the diagonal is followed, a column of it as bits of one integer: where the
+    cell below is one more (up) or one less (down). The last cell's value is summed along the band's lower edge, then
+    along the last row (bit-parallel edit distance, Hyyrö 2003).
     """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
     if n == 0 or m == 0:
         return max(n, m)
-    middle, goal = most + 1, m - n + most + 1
-    reach = np.full(2 * most + 3, -2, np.int64)
-    reach[middle] = matching_run(a, b, 0, 0)
-    for e in range(most + 1):
-        if e:
-            low, high = max(middle - e, 1), min(middle + e, 2 * most + 1)
-            span = np.arange(low, high + 1)
-            step = np.maximum(reach[span] + 1, np.maximum(reach[span - 1], reach[span + 1] + 1))
-            diagonal = span - middle
-            step = np.minimum(step, np.minimum(n, m - diagonal))
-            step[(step < 0) | (step + diagonal < 0)] = -2
-            x, y = step, step + diagonal
-            open_ = np.flatnonzero((x >= 0) & (x < n) & (y < m) & (y >= 0))
-            for at in open_[a[x[open_]] == b[y[open_]]]:
-                step[at] += matching_run(a, b, int(x[at]), int(y[at]))
-            reach[span] = step
-        if reach[goal] >= n:
-            return e
-    return None
+    where: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        where[w] = where.get(w, 0) | 1 << i
+    full, edge = (1 << 2 * most + 1) - 1, 1 << 2 * most
+    up, down, edits, find = full ^ ((1 << most) - 1), 0, min(most, n), where.get
+    for j, w in enumerate(b.tolist(), 1):
+        same = find(w, 0)
+        if same:
+            shift = j - most - 1
+            same = (same >> shift if shift >= 0 else same << -shift) & full
+        equal = ((((same & up) + up) ^ up) | same | down) & full
+        right_up, right_down = down | full ^ (equal | up), equal & up
+        if j + most <= n:
+            if not equal & edge:
+                edits += 1
+                if edits > 2 * most + m - n:
+                    return None
+        else:
+            row = n - j + most
+            edits += (right_up >> row & 1) - (right_down >> row & 1)
+            if edits - (m - j) > most:
+                return None
+        equal >>= 1
+        up, down = right_down | full ^ (equal | right_up), equal & right_up
+    return edits if edits <= most else None
 
 
 def near(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
@@ -147,24 +142,44 @@ def with_bucket(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(few), "key").unionByName(rest.join(many, "key"))
 
 
+def comparable(threshold: float, a: str, b: str):
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(threshold - 1e-9)
+
+
+def in_bands(keys: DataFrame, threshold: float) -> DataFrame:
+    """key, id, n_words: the members of buckets of two texts or more; buckets of unlike lengths as bands, two for each text, of which near texts share one."""
+    found = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.max("n_words") * F.lit(threshold - 1e-9) > F.min("n_words")).alias("unlike")).where("n > 1")
+    members = with_bucket(keys, stored(found, "buckets"))
+    band = F.floor(F.ln("n_words") / F.lit(-np.log(threshold) * (1 + 1e-9)))
+    split = members.where("unlike").select(F.explode(F.array(band, band + 1)).alias("band"), "key", "id", "n_words").select(F.xxhash64("key", "band").alias("key"), "id", "n_words")
+    return members.where("NOT unlike").select("key", "id", "n_words").unionByName(split)
+
+
 def with_leader(keys: DataFrame) -> DataFrame:
-    """key, id, leader: the members of buckets of two texts or more beside the smallest of them."""
+    """leader, id: different pairs of the members of buckets (key, id) of two texts or more and the smallest of them."""
     found = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return with_bucket(keys, stored(found, "buckets")).where("id <> leader")
+    return with_bucket(keys, stored(found, "buckets")).where("id <> leader").select("leader", "id").distinct()
 
 
-def with_lengths(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """pairs with n_words and leader_words."""
-    lengths = sketches.select("id", "n_words")
-    return pairs.join(lengths, "id").join(lengths.toDF("leader", "leader_words"), "leader")
+def spread_pairs(words: np.ndarray) -> np.ndarray:
+    """A hash for each word and the next but one."""
+    return mix(words[:-2] * np.uint64(0x9FB21C651E98DF25) ^ words[2:])
 
 
-def could_be_near(threshold: float):
-    return F.least("n_words", "leader_words") >= F.greatest("n_words", "leader_words") * F.lit(threshold - 1e-9)
+def outside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Marks of text b beside leader a: labelled words (odd numbers), word pairs and spread pairs that a hasn't, the MARKS smallest of each; of few pairs, also those that b lacks."""
+    out, one = [], np.uint64(1)
+    for kind in (lambda x: x, lambda x: shingle_hashes(x, 2), spread_pairs):
+        mine, theirs = (occurrence_labelled(kind(x)) if len(x) > 2 else x[:0] for x in (b, a))
+        own = np.setdiff1d(mine, theirs)
+        out.append(own[:MARKS] & ~one if out else own[:MARKS] | one)
+        if len(out) == 2 and len(own) < FEW:
+            out[1] = np.concatenate([out[1], ~np.setdiff1d(theirs, mine)[:FEW] & ~one])
+    return np.concatenate(out)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """leader, id, near for each pair of ids, from whole texts (id, text)."""
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, marked: bool = False) -> DataFrame:
+    """leader, id, near for each pair of ids, from whole texts (id, text), with the marks of id outside the leader if wanted."""
     heads = pairs.select(F.col("leader").alias("id")).distinct()
     first = texts.join(heads, "id", "left_semi").select(F.col("id").alias("leader"), F.col("text").alias("leader_text"))
     both = pairs.join(texts, "id").join(first, "leader")
@@ -174,14 +189,17 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
         last = (None, None)
         for some in chunks(batches, 64):
-            out = []
+            near_ones, marks = [], []
             for r in some:
                 if last[0] != (r["leader"], r["leader_text"]):
                     last = ((r["leader"], r["leader_text"]), word_hashes(r["leader_text"]))
-                out.append(near(last[1], word_hashes(r["text"]), threshold))
-            yield pa.RecordBatch.from_arrays([pa.array([r["leader"] for r in some], pa.int64()), pa.array([r["id"] for r in some], pa.int64()), pa.array(out, pa.bool_())], ["leader", "id", "near"])
+                words = word_hashes(r["text"])
+                near_ones.append(near(last[1], words, threshold))
+                marks.append(outside(last[1], words).view(np.int64) if marked else None)
+            columns = [pa.array([r["leader"] for r in some], pa.int64()), pa.array([r["id"] for r in some], pa.int64()), pa.array(near_ones, pa.bool_()), pa.array(marks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["leader", "id", "near", "marks"])
 
-    return both.select("leader", "id", "leader_text", "text").mapInArrow(align, "leader long, id long, near boolean")
+    return both.select("leader", "id", "leader_text", "text").mapInArrow(align, "leader long, id long, near boolean, marks array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,130 +259,52 @@ def sketched(texts: DataFrame) -> DataFrame:
     return texts.select("id", "content").mapInArrow(sketch, "id long, n_words long, sketch array<long>")
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """How many words of the texts (id, text) fall into each of the BINS of word hashes."""
-
-    def count(batches):
-        import pyarrow as pa
-
-        total = np.zeros(BINS, np.int64)
-        for some in chunks(batches):
-            for r in some:
-                total += np.bincount((word_hashes(r["text"]) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bin", "n"])
-
-    sums = texts.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BINS, np.int64)
-    out[sums["bin"]] = sums["n"]
-    return out
-
-
-def rarest_words(texts: DataFrame, threshold: float) -> DataFrame:
-    """id, words, need: each text's rarest labelled words in one order for all, so many that two near texts share the lesser `need` of them.
-
-    Near texts share t = threshold * the longer length words or more. In the common order, the c-th of those shared stands
-    within the first n - t + c words of either text, for any c.
-    """
-    counts = word_counts(texts)
-
-    def pick(batches):
-        import pyarrow as pa
-
-        for some in chunks(batches, 64):
-            ids, picked, needs = [], [], []
-            for r in some:
-                words = word_hashes(r["text"])
-                n, need = len(words), max(1, len(words) // 20)
-                labelled = occurrence_labelled(words)
-                order = np.lexsort((labelled, words, counts[(words % np.uint64(BINS)).astype(np.int64)]))
-                first = order[: int((1 - threshold) * n + 1e-9) + need]
-                ids.append(r["id"])
-                picked.append(labelled[first].view(np.int64))
-                needs.append(need)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(picked, pa.list_(pa.int64())), pa.array(needs, pa.int64())], ["id", "words", "need"])
-
-    return texts.select("id", "text").mapInArrow(pick, "id long, words array<long>, need long")
-
+def marked_members(verdicts: DataFrame, active: DataFrame) -> DataFrame:
+    """leader, id, mark, n (how many texts of the leader have the mark, two at least) for leaders of active that aren't near all their texts."""
+    mixed = verdicts.groupBy("leader").agg(F.count(F.lit(1)).alias("met"), F.count_if(~F.col("near")).alias("far")).where("met > 1 AND far > 0").join(active, "leader", "left_semi").select("leader")
+    rows = stored(verdicts.join(mixed, "leader").select("leader", "id", F.explode("marks").alias("mark")), "marks")
+    counts = rows.groupBy("leader", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored(rows.join(counts, ["leader", "mark"]), "shared-marks")
 
-def unsettled(candidates: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
-    """bucket, size, id, n_words, class_id, settled (of the leader's class) of the members, without leaders, of buckets whose members are of several classes; buckets of equal members once."""
-    of_leader = classes.select(F.col("id").alias("leader"), F.col("class_id").alias("leader_class"))
-    named = candidates.join(classes, "id", "left").join(of_leader, "leader", "left")
-    named = named.select("key", "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("leader_class", "leader").alias("leader_class"))
-    mixed = named.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(id))").alias("all"), F.min("id").alias("least"), F.max("id").alias("most")).where("low <> high")
-    once = stored(mixed.groupBy("n", "all", "least", "most").agg(F.min("key").alias("key")).select("key", "n", F.col("n").alias("size")), "mixed-buckets")
-    members = with_bucket(named, once).join(sketches.select("id", "n_words"), "id")
-    return members.select(F.col("key").alias("bucket"), "size", "id", "n_words", "class_id", F.expr("class_id = leader_class").alias("settled"))
 
+def sharing_rare(marks: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """leader, id: pairs of texts from different classes that share MET rare marks, and whose lengths allow it. members: id, n_words, class_id."""
+    few = marks.where(F.col("n") <= RARE).join(members, "id").groupBy("leader", "mark").agg(F.collect_list(F.struct("id", "n_words", "class_id")).alias("all"))
+    pairs = few.select("leader", F.explode("all").alias("a"), "all").select("leader", "a", F.explode("all").alias("b")).where("a.id < b.id AND a.class_id <> b.class_id").where(comparable(threshold, "a.n_words", "b.n_words"))
+    met = pairs.groupBy("leader", F.col("a.id").alias("first"), F.col("b.id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MET)
+    return met.select(F.col("first").alias("leader"), "id").distinct()
 
-def with_enough_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (leader, id) that share as many of their rarest words as near texts do."""
-    heads = words.join(pairs.select(F.col("leader").alias("id")).distinct(), "id", "left_semi").toDF("leader", "leader_words", "leader_need")
-    both = pairs.join(words, "id").join(heads, "leader")
-    return both.where("size(array_intersect(words, leader_words)) >= least(need, leader_need)").select("leader", "id")
 
-
-def sharing_words(members: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """leader, id: pairs of members from different classes, in one small bucket or with rare words of few texts, that can share as many of their rarest words as near texts do.
-
-    Of the words of texts in large buckets, those of few texts make pairs and are counted; the others count for a pair as
-    often as they may.
-    """
-    close = F.expr(f"a.id < b.id AND least(a.n_words, b.n_words) >= greatest(a.n_words, b.n_words) * {threshold - 1e-9!r}D AND a.class_id <> b.class_id")
-    named = [F.col("a.id").alias("leader"), F.col("b.id").alias("id")]
-    small = members.where(F.col("size") <= SMALL)
-    pairs = small.alias("a").join(small.alias("b"), "bucket").where(close).select(*named).distinct()
-    of_small = with_enough_words(pairs, words)
-    large = members.where(F.col("size") > SMALL).select("id", "n_words", "class_id").distinct()
-    rows = stored(large.join(words, "id").select("id", "n_words", "class_id", "need", F.explode("words").alias("word")), "rare-words")
-    texts_of = stored(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("word", "n"), "shared-words")
-    few = rows.join(texts_of.where(F.col("n") <= SMALL).select("word"), "word")
-    often = stored(rows.join(texts_of.where(F.col("n") > SMALL).select("word"), "word").groupBy("id").agg(F.count(F.lit(1)).alias("often")), "often")
-    met = few.alias("a").join(few.alias("b"), "word").where(close).groupBy(*named).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("a.need", "b.need")).alias("need"))
-    known = met.join(often.toDF("leader", "leader_often"), "leader", "left").join(often, "id", "left")
-    of_large = stored(known.where("n >= greatest(1, need - least(coalesce(leader_often, 0), coalesce(often, 0)))").select("leader", "id"), "likely")
-    return of_small.union(with_enough_words(of_large, words)).distinct()
-
-
-def elected(rows: DataFrame, texts: DataFrame, words: DataFrame, compared: DataFrame, threshold: float, rounds: int = ROUNDS) -> list[DataFrame]:
-    """Verdicts (leader, id, near) of the rounds in which members (bucket, id, n_words) that are near none of their leaders yet elect another."""
-    found = []
-    for _ in range(rounds):
-        heads = rows.groupBy(F.col("bucket").alias("key")).agg(F.min(F.struct("id", "n_words")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        heads = stored(heads.select("key", F.col("head.id").alias("leader"), F.col("head.n_words").alias("leader_words"), "n"), "heads")
-        met = stored(with_bucket(rows.withColumnRenamed("bucket", "key"), heads).where("id <> leader"), "met")
-        wanted = met.where(could_be_near(threshold)).select("leader", "id").distinct()
-        wanted = stored(wanted.join(compared, ["leader", "id"], "left_anti"), "wanted")
-        pairs = stored(with_enough_words(wanted, words), "pairs")
-        found.append(stored(verified(pairs, texts, threshold), "verdicts"))
-        near_ones = found[-1].where("near").select("leader", "id")
-        if near_ones.isEmpty():
-            break
-        rows = stored(met.join(near_ones, ["leader", "id"], "left_anti").select(F.col("key").alias("bucket"), "id", "n_words"), "rows")
-        compared = compared.union(wanted)
-    return found
+def common_buckets(marks: DataFrame) -> DataFrame:
+    """key, id: each text's rarest marks, single words aside, of those that more than RARE texts of its leader have, as buckets."""
+    order = Window.partitionBy("leader", "id").orderBy("n", "mark")
+    chosen = marks.where((F.col("n") > RARE) & (F.col("mark") % 2 == 0)).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= COMMON)
+    return chosen.select(F.xxhash64("leader", "mark").alias("key"), "id")
 
 
 def near_links(sketches: DataFrame, contents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b) between different texts (id, content)."""
-    keys = sketches.where("sketch IS NOT NULL").select(F.explode("sketch").alias("key"), "id")
-    candidates = stored(with_leader(keys), "candidates")
-    pairs = with_lengths(candidates.select("leader", "id").distinct(), sketches)
-    pairs = stored(pairs.where(could_be_near(threshold)).select("leader", "id"), "pairs")
-    # the texts of all that shares a bucket, once for both rounds
-    live = stored(candidates.select("id").union(candidates.select("leader")).distinct(), "live")
-    texts = stored(contents.select("id", F.col("content").alias("text")).join(live, "id", "left_semi"), "texts", "zstd")
-    first = stored(verified(pairs, texts, threshold), "verdicts")
-    links = first.where("near").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    members = stored(unsettled(candidates, components(links), sketches), "unsettled")
-    words = stored(rarest_words(texts.join(members.select("id").distinct(), "id", "left_semi"), threshold), "words")
-    more = stored(sharing_words(members, words, threshold).join(pairs, ["leader", "id"], "left_anti"), "pairs")
-    second = stored(verified(more, texts, threshold), "verdicts")
-    left = members.where((F.col("size") > SMALL) & ~F.col("settled")).select("bucket", "id", "n_words")
-    rounds = elected(left, texts, words, pairs.union(more), threshold)
-    verdicts = reduce(DataFrame.union, [first, second, *rounds])
-    return verdicts.where("near").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    keys = sketches.where("sketch IS NOT NULL").select(F.explode("sketch").alias("key"), "id", "n_words")
+    members = stored(in_bands(keys, threshold), "bands")
+    texts = stored(contents.select("id", F.col("content").alias("text")).join(members.select("id").distinct(), "id", "left_semi"), "texts", "zstd")
+    wanted = stored(with_leader(members.select("key", "id")), "pairs")
+    verdicts = stored(verified(wanted, texts, threshold, True), "verdicts")
+    links, active, compared = verdicts.where("near"), wanted.select("leader").distinct(), wanted
+    classes = components(links.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    named = sketches.select("id", "n_words").join(classes, "id", "left").select("id", "n_words", F.coalesce("class_id", "id").alias("class_id"))
+    named = stored(named.join(members.select("id").distinct(), "id", "left_semi"), "members")
+    while True:
+        marks = marked_members(verdicts, active)
+        direct = stored(sharing_rare(marks, named, threshold).join(compared, ["leader", "id"], "left_anti"), "pairs")
+        met = stored(verified(direct, texts, threshold), "verdicts")
+        compared = compared.union(direct)
+        wanted = stored(with_leader(stored(common_buckets(marks), "common")).join(compared, ["leader", "id"], "left_anti"), "pairs")
+        links = links.union(met.where("near"))
+        if wanted.isEmpty():
+            return links.select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        found = stored(verified(wanted, texts, threshold, True), "verdicts")
+        # a leader that met further texts looks at all its texts again, as they share marks with those met before
+        verdicts, links, compared, active = verdicts.union(found), links.union(found.where("near")), compared.union(wanted), wanted.select("leader").distinct()
 
 
 def classified(docs: DataFrame, threshold: float) -> DataFrame:

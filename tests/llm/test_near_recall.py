@@ -3,7 +3,9 @@
 import itertools
 import random
 
-import pytest
+import numpy as np
+
+
 
 from proofgrid.llm import near_dedup
 from proofgrid.llm.common import word_hashes
@@ -54,3 +56,44 @@ def test_recall_at_dense_edits(spark, share):
         found[k] += got[2 * p + 1] == 2 * p
     print(share, found)
     assert all(n >= 48 for n in found.values())
+
+
+@pytest.mark.parametrize("n,own,edits", [(500, 48, 26), (1650, 48, 26)])
+def test_passage_and_few_different_words(spark, n, own, edits):
+    """One passage in every text, own words from a vocabulary of 200: no word is rare, and planted pairs differ in half of their own words."""
+    rng = random.Random(n + edits)
+    words, passage = [f"w{k}" for k in range(200)], [f"p{rng.randrange(10**6)}" for _ in range(152)]
+    texts, pairs = [], []
+    for k in range(n):
+        mine = [rng.choice(words) for _ in range(own)]
+        texts.append(passage + mine)
+        if k < 150:
+            other = list(mine)
+            for at in rng.sample(range(own), edits):
+                other[at] = rng.choice(words)
+            pairs.append((len(texts) - 1, len(texts)))
+            texts.append(passage + other)
+    got = classes(spark, [" ".join(t) for t in texts])
+    hashes = [word_hashes(" ".join(t)) for t in texts]
+    assert all(near_dedup.near(hashes[a], hashes[b]) for a, b in pairs)
+    found = sum(got[a] == got[b] for a, b in pairs)
+    print(n, edits, found)
+    assert found == len(pairs)
+    assert len(set(got.values())) > n * 0.9
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_banded_edits_against_the_whole_table():
+    rng = random.Random(0)
+    for _ in range(6000):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(14))] for _ in range(2))
+        most, want = rng.randrange(8), plain_edits(a, b)
+        assert near_dedup.banded_edits(np.array(a, np.uint64), np.array(b, np.uint64), most) == (want if want <= most else None)
