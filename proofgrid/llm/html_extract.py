@@ -3,8 +3,10 @@
 Each page votes, in Spark, for the container that scores best on it: its text outside links and boilerplate, less a
 share for what lies outside paragraphs. A vote names the container's generalised path: a digest of the tags from the root
 with their classes, digits dropped. Votes are summed by host and path; the path with most votes wins its host, and every page is
-extracted again from the containers on the winning path, or from its own best one if it has none there. The page itself
-counts as a container, as its body tag may be left out. A class, id or role marks boilerplate only if the name as a whole
+extracted again from the containers on the winning path, or from its own best one if it has none there. Where containers on
+that path differ in their classes' digits (columns of a grid), those with the classes that score best are taken. A headline
+belongs to the article if it stands in its container. A form that spans most of a page and holds headlines or paragraphs
+wraps it and isn't boilerplate. The page itself counts as a container, as its body tag may be left out. A class, id or role marks boilerplate only if the name as a whole
 says so (MARKS and PLAIN words alone), and a header inside an article belongs to it. Where marked wrappers hold all text,
 their marks are passed over. Reading takes time in proportion to the page, however many elements are left open.
 
@@ -53,7 +55,11 @@ PLAIN = {
 }
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Attributes one after the other, so that what stands within quotes is none.
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TOLD = {"class", "id", "role", "hidden", "aria-hidden"}
+_FORM_END = re.compile("</form", re.I)
+_ARTICLE_LIKE = re.compile(r"<(?:h1|article|main)\b|(?:<p\b.*?){3}", re.I | re.S)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WHITE = re.compile(r"\s+")
 #: Places of the elements that end an open one of their kind, and the elements beyond which they don't look for it.
@@ -62,12 +68,12 @@ _LISTS = {"ul", "ol", "dl", "table"}
 
 
 class Node:
-    """An open element. open: for each place of _PEERS the depth of the one in reach, or 0; block: the nearest element that isn't inline; marks: how many inline elements of each tag are open right in it."""
+    """An open element. exact: its own classes, whole; open: for each place of _PEERS the depth of the one in reach, or 0; block: the nearest element that isn't inline; marks: how many inline elements of each tag are open right in it."""
 
-    __slots__ = ("tag", "path", "skip", "article", "linked", "prose", "open", "block", "marks", "text", "links", "paragraphs")
+    __slots__ = ("tag", "path", "exact", "skip", "article", "linked", "prose", "open", "block", "marks", "text", "links", "paragraphs")
 
-    def __init__(self, tag: str, path: str, skip: bool, above: Node | None, depth: int, inline: bool):
-        self.tag, self.path, self.skip = tag, path, skip
+    def __init__(self, tag: str, path: str, exact: str, skip: bool, above: Node | None, depth: int, inline: bool):
+        self.tag, self.path, self.exact, self.skip = tag, path, exact, skip
         self.text = self.links = self.paragraphs = 0
         if above is None:
             self.article = self.linked = self.prose = False
@@ -100,18 +106,21 @@ def marks_off(name: str, inside: bool) -> bool:
     return bool(own) and all(w in PLAIN or w in MARKS for w in words)
 
 
-def described(attributes: str, heed: bool, inside: bool) -> tuple[str, bool]:
-    """The generalised classes, and whether the element is boilerplate by its class, id or role."""
-    classes, marked = "", False
+def described(attributes: str, heed: bool, inside: bool) -> tuple[str, str, bool]:
+    """The generalised classes, the whole ones, and whether the element is boilerplate by its class, id or role."""
+    classes, exact, marked = "", "", False
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+        if (name := name.lower()) not in _TOLD:
+            continue
+        value = value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             marked = True
         elif name != "aria-hidden":
             marked = marked or heed and any(marks_off(x, inside) for x in value.split())
             if name == "class":
+                exact = " ".join(sorted(set(value.lower().split())))
                 classes = ".".join(sorted({re.sub(r"[\d_-]+", "", c) for c in value.lower().split()} - {""}))
-    return classes, marked
+    return classes, exact, marked
 
 
 _paths: dict[tuple[str, str, str], str] = {}
@@ -129,7 +138,8 @@ def path_below(path: str, tag: str, classes: str) -> str:
 
 def walk(page: str, heed: bool = True):
     """Events of a page in order: ("in", node, parents), ("out", node), ("text", raw, nodes), ("break",)."""
-    stack, opened, at, end = [Node("", "", False, None, 0, False)], Counter(), 0, len(page)
+    stack, opened, at, end = [Node("", "", "", False, None, 0, False)], Counter(), 0, len(page)
+    form_end, wraps = 0, False
 
     def close():
         node = stack.pop()
@@ -171,10 +181,17 @@ def walk(page: str, heed: bool = True):
         while depth and len(stack) > depth:
             yield close()
         above = stack[-1]
-        classes, marked = described(attributes, heed, above.article) if attributes else ("", False)
+        classes, exact, marked = described(attributes, heed, above.article) if attributes else ("", "", False)
         article = tag in ("article", "main", "body", "html")
-        skip = above.skip or tag in SKIPPED or (marked and not article) or (tag == "header" and not above.article)
-        node = Node(tag, above.path if inline else path_below(above.path, tag, classes), skip, above, len(stack), inline)
+        boilerplate = tag in SKIPPED
+        if tag == "form":
+            if form_end < at:
+                found = _FORM_END.search(page, at)
+                form_end = found.start() if found else end
+                wraps = 2 * (form_end - at) >= end and _ARTICLE_LIKE.search(page, at, form_end) is not None
+            boilerplate = not wraps
+        skip = above.skip or boilerplate or (marked and not article) or (tag == "header" and not above.article)
+        node = Node(tag, above.path if inline else path_below(above.path, tag, classes), exact, skip, above, len(stack), inline)
         (node.block.marks if inline else opened)[tag] += 1
         stack.append(node)
         yield "in", node, stack
@@ -215,7 +232,9 @@ def best_path(page: str, heed: bool = True) -> tuple[str, float]:
 
 
 def text_at(page: str, path: str, heed: bool = True) -> str:
-    """The text of the outermost containers on a path: blocks in page order, white space as one space, one line end between."""
+    """The text of the outermost containers on a path, of the classes that score best: blocks in page order, white space as one space, one line end between."""
+    found: list[tuple[str, list[str]]] = []
+    scores: Counter[str] = Counter()
     blocks, held, open_at = [], [], ROOT if path == ROOT else None
 
     def flush():
@@ -231,14 +250,21 @@ def text_at(page: str, path: str, heed: bool = True) -> str:
         if event == "text":
             if not stack[-1].skip:
                 held.append(what)
+                if open_at is not ROOT:
+                    prose = stack[-1].prose or stack[-1].tag in ("h1", "h2", "h3", "h4", "li", "pre")
+                    scores[open_at.exact] += len(what.strip()) * ((1.0 if prose else 0.3) - stack[-1].linked)
         elif event == "space":
             held.append(" ")
         elif event == "break" or what.tag not in INLINE:
             flush()
         if event == "out" and what is open_at:
-            open_at = None
+            found.append((what.exact, blocks))
+            blocks, open_at = [], None
     flush()
-    return "\n".join(blocks)
+    if path == ROOT:
+        return "\n".join(blocks)
+    best = min(scores, key=lambda exact: (-scores[exact], exact), default="")
+    return "\n".join(block for exact, own in found if exact == best for block in own)
 
 
 def host_of(url: Column) -> Column:

@@ -102,3 +102,41 @@ def test_random_pages_match_a_plain_reader(spark):
     docs = spark.createDataFrame(rows, "page_id long, url string, html string, path string, host int")
     got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(docs).collect()}
     assert got == {k: plain_reader(page) for k, page in enumerate([*pages, pages[0]])}
+
+
+ODD = {
+    "<body><form id='aspnetForm' method='post'><div class='menu'><a href='/'>Home</a></div><div class='content'><h1>Head.</h1><p>One paragraph of the article.</p></div></form></body>": "Head.\nOne paragraph of the article.",
+    "<body><div><a href='#c'>Skip</a></div><form><div class='content'><p>One.</p><p>Two.</p><p>Three.</p><input><button>no</button></div></form></body>": "One.\nTwo.\nThree.",
+    "<body><article><p>A paragraph that is long enough to be one.</p><form action='/s'><label>Your name</label><p>no</p></form></article></body>": "A paragraph that is long enough to be one.",
+    "<article><p title=\"the hidden truth\">First.</p><p data-x='a class=sidebar b'>Second.</p><p data-y=\"id='ads'\">Third.</p><p title=x hidden>no</p></article>": "First.\nSecond.\nThird.",
+    "<div class='row'><div class='col-md-8'><p>The article, in the wide column of a grid, of many words beside a short teaser that isn't part of it.</p><p>More of it.</p></div><div class='col-md-4'><p>A teaser.</p></div></div>": "The article, in the wide column of a grid, of many words beside a short teaser that isn't part of it.\nMore of it.",
+    "<div class='row'><div class='col-4'><a href='/1'>Link</a> teaser</div><div class='col-8'><p>The article, in the wide column.</p></div></div>": "The article, in the wide column.",
+    "<main><section class='part'><p>First part of the article.</p></section><section class='part'><p>Second part of it.</p></section></main>": "First part of the article.\nSecond part of it.",
+    "<h1>Beside</h1><header><h1>Above</h1></header><article><h1>Within</h1><p>Text of the article.</p></article>": "Within\nText of the article.",
+}
+
+
+def test_forms_quoted_attributes_and_grids(spark):
+    rows = [(k, f"http://g{k}.example/", page) for k, page in enumerate(ODD)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(ODD.values()))
+
+
+def test_columns_of_one_host_stay_apart(spark):
+    """Every page of a host has an article of eight columns and a teaser of four, in either order, and the teaser may be the longer vote of a short page."""
+    page = lambda k: f"<div class='row'><div class='col-{'4' if k % 2 else '8'}'>{{}}</div><div class='col-{'8' if k % 2 else '4'}'>{{}}</div></div>"
+    article, teaser = "<p>Words of the article, of number {}.</p><p>And more of them.</p>", "<a href='/{}'>Teaser</a>"
+    rows = [(k, "http://grid.example/", page(k).format(*(teaser.format(k), article.format(k))[:: 1 if k % 2 else -1])) for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Words of the article, of number {k}.\nAnd more of them." for k in range(20)}
+
+
+def test_many_open_forms_take_time_in_proportion():
+    import time
+
+    spent = []
+    for n in (2_000, 16_000):
+        began = time.process_time()
+        html_extract.text_at("<form><i>" * n + "x", html_extract.ROOT)
+        spent.append(time.process_time() - began)
+    assert spent[1] < 8 * 4 * spent[0] + 0.5

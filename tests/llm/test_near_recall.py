@@ -4,8 +4,7 @@ import itertools
 import random
 
 import numpy as np
-
-
+import pytest
 
 from proofgrid.llm import near_dedup
 from proofgrid.llm.common import word_hashes
