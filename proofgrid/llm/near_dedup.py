@@ -40,8 +40,8 @@ FINE_K, FINE_SKETCHES = 2, 32
 LARGE, MOST_LARGE = 1000, 20_000
 #: Marks of each kind of a text at most, beside a leader. A text with fewer word pairs than FEW is also marked by what it lacks.
 MARKS, FEW = 40, 16
-#: Texts of a leader that share MET marks which RARE or fewer have are compared; of other marks COMMON are followed for each text.
-RARE, MET, COMMON = 32, 2, 6
+#: Texts of a leader that share MET marks, or a SHARE-th of theirs, which RARE or fewer have are compared; of other marks each two of COMMON are followed for a text.
+RARE, MET, SHARE, COMMON = 32, 2, 30, 6
 _LARGEST = np.uint64((1 << 64) - 1)
 
 
@@ -77,12 +77,11 @@ def order_minhash(words: np.ndarray, k: int = K, sketches: int = SKETCHES, sampl
     return out
 
 
-def shared_words(a: np.ndarray, b: np.ndarray) -> int:
-    """The size of the multiset intersection."""
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return int(np.minimum(n[i], m[j]).sum())
+def shared_words(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """The size of the multiset intersection of two texts' words, each as different ones in order and their counts."""
+    (x, n), (y, m) = a, b
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return int(np.minimum(n[at], m)[x[at] == y].sum())
 
 
 def banded_edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -124,11 +123,13 @@ def banded_edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return edits if edits <= most else None
 
 
-def near(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
-    """Whether the word sequences have an edit similarity (1 - edits / longer length) of at least threshold."""
+def near(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, counted=None) -> bool:
+    """Whether the word sequences have an edit similarity (1 - edits / longer length) of at least threshold. counted: a's different words and counts, if at hand."""
     longer = max(len(a), len(b))
     most = int((1 - threshold) * longer + 1e-9)
-    if min(len(a), len(b)) < longer - most or longer - shared_words(a, b) > most:
+    if min(len(a), len(b)) < longer - most:
+        return False
+    if longer and longer - shared_words(counted or np.unique(a, return_counts=True), np.unique(b, return_counts=True)) > most:
         return False
     return banded_edits(a, b, most) is not None
 
@@ -161,20 +162,26 @@ def with_leader(keys: DataFrame) -> DataFrame:
     return with_bucket(keys, stored(found, "buckets")).where("id <> leader").select("leader", "id").distinct()
 
 
-def spread_pairs(words: np.ndarray) -> np.ndarray:
-    """A hash for each word and the next but one."""
-    return mix(words[:-2] * np.uint64(0x9FB21C651E98DF25) ^ words[2:])
+def mark_kinds(words: np.ndarray) -> list[np.ndarray]:
+    """The different words (odd numbers), word pairs and pairs with one word between, each in order of its hash."""
+    if len(words) < 3:
+        return [words[:0]] * 3
+    one = np.uint64(1)
+    spread = mix(words[:-2] * np.uint64(0x9FB21C651E98DF25) ^ words[2:])
+    return [np.unique(words | one), np.unique(shingle_hashes(words, 2) & ~one), np.unique(spread & ~one)]
+
 
+def without(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    if not len(theirs) or not len(mine):
+        return mine
+    return mine[theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] != mine]
 
-def outside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Marks of text b beside leader a: labelled words (odd numbers), word pairs and spread pairs that a hasn't, the MARKS smallest of each; of few pairs, also those that b lacks."""
-    out, one = [], np.uint64(1)
-    for kind in (lambda x: x, lambda x: shingle_hashes(x, 2), spread_pairs):
-        mine, theirs = (occurrence_labelled(kind(x)) if len(x) > 2 else x[:0] for x in (b, a))
-        own = np.setdiff1d(mine, theirs)
-        out.append(own[:MARKS] & ~one if out else own[:MARKS] | one)
-        if len(out) == 2 and len(own) < FEW:
-            out[1] = np.concatenate([out[1], ~np.setdiff1d(theirs, mine)[:FEW] & ~one])
+
+def outside(leader: list[np.ndarray], text: list[np.ndarray]) -> np.ndarray:
+    """Marks of a text beside a leader (see mark_kinds): those that the leader hasn't, the MARKS smallest of each kind; of few pairs, also those that the text lacks."""
+    out = [without(mine, theirs)[:MARKS] for mine, theirs in zip(text, leader, strict=True)]
+    if len(out[1]) < FEW:
+        out.append(~without(leader[1], text[1])[:FEW] & ~np.uint64(1))
     return np.concatenate(out)
 
 
@@ -187,15 +194,16 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, marked: bool
     def align(batches):
         import pyarrow as pa
 
-        last = (None, None)
+        last = None
         for some in chunks(batches, 64):
             near_ones, marks = [], []
             for r in some:
-                if last[0] != (r["leader"], r["leader_text"]):
-                    last = ((r["leader"], r["leader_text"]), word_hashes(r["leader_text"]))
+                if last is None or last != (r["leader"], r["leader_text"]):
+                    last, head = (r["leader"], r["leader_text"]), word_hashes(r["leader_text"])
+                    counted, kinds = np.unique(head, return_counts=True), mark_kinds(head) if marked else None
                 words = word_hashes(r["text"])
-                near_ones.append(near(last[1], words, threshold))
-                marks.append(outside(last[1], words).view(np.int64) if marked else None)
+                near_ones.append(near(head, words, threshold, counted))
+                marks.append(outside(kinds, mark_kinds(words)).view(np.int64) if marked else None)
             columns = [pa.array([r["leader"] for r in some], pa.int64()), pa.array([r["id"] for r in some], pa.int64()), pa.array(near_ones, pa.bool_()), pa.array(marks, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["leader", "id", "near", "marks"])
 
@@ -260,26 +268,28 @@ def sketched(texts: DataFrame) -> DataFrame:
 
 
 def marked_members(verdicts: DataFrame, active: DataFrame) -> DataFrame:
-    """leader, id, mark, n (how many texts of the leader have the mark, two at least) for leaders of active that aren't near all their texts."""
+    """leader, id, marks (how many it has), mark, n (how many texts of the leader have the mark, two at least) for leaders of active that aren't near all their texts."""
     mixed = verdicts.groupBy("leader").agg(F.count(F.lit(1)).alias("met"), F.count_if(~F.col("near")).alias("far")).where("met > 1 AND far > 0").join(active, "leader", "left_semi").select("leader")
-    rows = stored(verdicts.join(mixed, "leader").select("leader", "id", F.explode("marks").alias("mark")), "marks")
+    rows = stored(verdicts.join(mixed, "leader").select("leader", "id", F.size("marks").alias("marks"), F.explode("marks").alias("mark")), "marks")
     counts = rows.groupBy("leader", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return stored(rows.join(counts, ["leader", "mark"]), "shared-marks")
 
 
 def sharing_rare(marks: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """leader, id: pairs of texts from different classes that share MET rare marks, and whose lengths allow it. members: id, n_words, class_id."""
-    few = marks.where(F.col("n") <= RARE).join(members, "id").groupBy("leader", "mark").agg(F.collect_list(F.struct("id", "n_words", "class_id")).alias("all"))
+    few = marks.where(F.col("n") <= RARE).join(members, "id").groupBy("leader", "mark").agg(F.collect_list(F.struct("id", "n_words", "class_id", "marks")).alias("all"))
     pairs = few.select("leader", F.explode("all").alias("a"), "all").select("leader", "a", F.explode("all").alias("b")).where("a.id < b.id AND a.class_id <> b.class_id").where(comparable(threshold, "a.n_words", "b.n_words"))
-    met = pairs.groupBy("leader", F.col("a.id").alias("first"), F.col("b.id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MET)
-    return met.select(F.col("first").alias("leader"), "id").distinct()
+    met = pairs.groupBy("leader", F.col("a.id").alias("first"), F.col("b.id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("a.marks", "b.marks")).alias("marks"))
+    return met.where(f"n >= greatest({MET}, marks div {SHARE})").select(F.col("first").alias("leader"), "id").distinct()
 
 
 def common_buckets(marks: DataFrame) -> DataFrame:
-    """key, id: each text's rarest marks, single words aside, of those that more than RARE texts of its leader have, as buckets."""
+    """key, id: each two of a text's rarest marks, single words aside, of those that more than RARE texts of its leader have, as buckets."""
     order = Window.partitionBy("leader", "id").orderBy("n", "mark")
     chosen = marks.where((F.col("n") > RARE) & (F.col("mark") % 2 == 0)).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= COMMON)
-    return chosen.select(F.xxhash64("leader", "mark").alias("key"), "id")
+    of_text = chosen.groupBy("leader", "id").agg(F.array_sort(F.collect_list("mark")).alias("all"))
+    two = of_text.select("leader", "id", "all", F.explode("all").alias("one")).select("leader", "id", "one", F.explode("all").alias("other")).where("one < other")
+    return two.select(F.xxhash64("leader", "one", "other").alias("key"), "id")
 
 
 def near_links(sketches: DataFrame, contents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -303,6 +313,8 @@ def near_links(sketches: DataFrame, contents: DataFrame, threshold: float = THRE
         if wanted.isEmpty():
             return links.select(F.col("leader").alias("a"), F.col("id").alias("b"))
         found = stored(verified(wanted, texts, threshold, True), "verdicts")
+        if found.where("near").isEmpty():
+            return links.select(F.col("leader").alias("a"), F.col("id").alias("b"))
         # a leader that met further texts looks at all its texts again, as they share marks with those met before
         verdicts, links, compared, active = verdicts.union(found), links.union(found.where("near")), compared.union(wanted), wanted.select("leader").distinct()
 
