@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import entities as E
-from ..operators import graph
+from ..operators import graph, matching
 from ..sources.adapters import place_edges
 from ..sources.tables import read
 
@@ -73,7 +73,13 @@ def entity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.matched_pairs(rows, ["p_brand", "p_type", "p_size"], ["price_class"])
 
 
-QUERIES = {f.__name__: f for f in (entity_edges, entity_vertices, collected_edges, entity_lookup, incident_edges, shortest_routes, cyclic_tasks, entity_pairs)}
+def alike_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand whose names are at least possible matches."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_brand")
+    return matching.alike(rows, ["p_brand"], 0.85)
+
+
+QUERIES = {f.__name__: f for f in (alike_parts, entity_edges, entity_vertices, collected_edges, entity_lookup, incident_edges, shortest_routes, cyclic_tasks, entity_pairs)}
 
 _OBS = """WITH o AS (SELECT lower(trim(CASE WHEN user_id % 3 = 0 THEN '10.0.' || (user_id % 256) || '.1' ELSE ' Host' || user_id || '.example.org' END)) AS subject,
     CASE event_type WHEN 'view' THEN 'dns.a' WHEN 'click' THEN 'dns.cname' WHEN 'signup' THEN 'domain.subdomain_seen_in_ct' WHEN 'purchase' THEN 'registrar' ELSE CASE WHEN event_id % 2 = 0 THEN 'domain.nameserver' ELSE 'ip.organization' END END AS predicate, floor(value / 20)::BIGINT AS k,
