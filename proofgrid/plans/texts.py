@@ -35,8 +35,8 @@ def literal_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs(spark, sf_dir).select("doc_id", F.size(T.secrets(text)).alias("n_found"), F.sha2(T.masked(text), 256).alias("masked_sha256"))
+    found = docs(spark, sf_dir).select("doc_id", T.masking(F.coalesce("text", F.lit(""))).alias("m"))
+    return found.select("doc_id", F.size("m.found").alias("n_found"), F.sha2("m.text", 256).alias("masked_sha256"))
 
 
 def injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,16 @@ def _kind(v: str) -> str:
         WHEN regexp_matches(lower({bare}), '^([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?\\.)+[a-z]{{2,63}}$') AND length({bare}) <= 253 THEN 'domain' WHEN regexp_matches({v}, '^@?[A-Za-z0-9_.-]{{1,80}}$') THEN 'username' ELSE 'query' END"""
 
 
+# the patterns once more, by hand
+_SECRETS = (
+    r"(?i)(password|passwd|pass)\s*[:=]\s*\S+", r"(?i)(api[_-]?key|token|secret)\s*[:=]\s*\S+", r"(?i)session[_-]?cookie\s*[:=]\s*\S+",
+    r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", r"\b[0-9a-fA-F]{32,64}:[^:\s]{4,}\b",
+)
+_MASKING = ", ".join(
+    f"""x{k} AS (SELECT *, regexp_extract_all(text, '{p}') AS found, regexp_split_to_array(text, '{p}') AS own FROM t{k}),
+    t{k + 1} AS (SELECT doc_id, own[1] || coalesce(array_to_string(list_transform(found, lambda x, i: left(x, 8) || '…[MASKED]' || own[i + 1]), ''), '') AS text, n + len(found) AS n FROM x{k})"""
+    for k, p in enumerate(_SECRETS)
+)
 _HOST = "CASE WHEN regexp_extract(url, '^https?://([^/]+)', 1) <> '' THEN regexp_extract(url, '^https?://([^/]+)', 1) ELSE coalesce(url, '') END"
 ORACLES = {
     "doc_shingle_jaccard": f"{_SETS} SELECT doc_a, doc_b, round(jaccard, 6) AS jaccard FROM pairs WHERE jaccard >= 0.55",
@@ -110,8 +120,8 @@ ORACLES = {
     "literal_extraction": f"""WITH t AS (SELECT doc_id, text, regexp_replace(text, 'https?://[^\\s"''<>)\\]]+', ' ', 'g') AS rest FROM documents)
         SELECT DISTINCT doc_id, 'url' AS kind, unnest(regexp_extract_all(text, 'https?://[^\\s"''<>)\\]]+')) AS value FROM t
         {" ".join(f"UNION SELECT doc_id, '{k}', unnest(regexp_extract_all(rest, '{p}')) FROM t" for k, p in T.LITERALS.items() if k != "url")}""",
-    "secret_masking": f"""WITH f AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{"|".join(T.SECRETS)}', 0) AS found FROM documents)
-        SELECT doc_id, len(found)::INTEGER AS n_found, sha256(list_reduce(list_prepend(text, list_filter(found, lambda x, i: list_position(found, x) = i)), lambda a, b: replace(a, b, left(b, 8) || '…[MASKED]'))) AS masked_sha256 FROM f""",
+    "secret_masking": f"""WITH t0 AS (SELECT doc_id, coalesce(text, '') AS text, 0 AS n FROM documents), {_MASKING}
+        SELECT doc_id, n::INTEGER AS n_found, sha256(text) AS masked_sha256 FROM t{len(_SECRETS)}""",
     "injection_scan": f"""WITH f AS (SELECT conv_id, turn, list_filter([{", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}' END" for n, p in T.INJECTIONS.items())}], lambda x: x IS NOT NULL) AS flags FROM conversations)
         SELECT conv_id, turn, coalesce(array_to_string(flags, ','), '') AS flags, CASE WHEN len(flags) = 0 THEN 'CLEAN' WHEN list_has_any(flags, {list(T.HOSTILE)}) THEN 'HOSTILE' ELSE 'SUSPICIOUS' END AS risk FROM f""",
     "story_clusters": r"""SELECT left(trim(regexp_replace(regexp_replace(lower(coalesce(split_part(text, chr(10), 1), '')), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')), 80) AS story_key,
