@@ -300,18 +300,18 @@ def near_links(sketches: DataFrame, contents: DataFrame, threshold: float = THRE
     wanted = stored(with_leader(members.select("key", "id")), "pairs")
     verdicts = stored(verified(wanted, texts, threshold, True), "verdicts")
     links, active, compared = verdicts.where("near"), wanted.select("leader").distinct(), wanted
-    classes = components(links.select(F.col("leader").alias("a"), F.col("id").alias("b")))
-    named = sketches.select("id", "n_words").join(classes, "id", "left").select("id", "n_words", F.coalesce("class_id", "id").alias("class_id"))
-    named = stored(named.join(members.select("id").distinct(), "id", "left_semi"), "members")
+    lengths = stored(sketches.select("id", "n_words").join(members.select("id").distinct(), "id", "left_semi"), "lengths")
     while True:
+        classes = components(links.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+        named = stored(lengths.join(classes, "id", "left").select("id", "n_words", F.coalesce("class_id", "id").alias("class_id")), "members")
         marks = marked_members(verdicts, active)
         direct = stored(sharing_rare(marks, named, threshold).join(compared, ["leader", "id"], "left_anti"), "pairs")
         met = stored(verified(direct, texts, threshold), "verdicts")
-        compared = compared.union(direct)
-        wanted = stored(with_leader(stored(common_buckets(marks), "common")).join(compared, ["leader", "id"], "left_anti"), "pairs")
-        links = links.union(met.where("near"))
-        if wanted.isEmpty():
-            return links.select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        links, compared = links.union(met.where("near")), compared.union(direct)
+        # what is of one class already needs no further link
+        of = lambda side: named.select(F.col("id").alias(side), F.col("class_id").alias(f"{side}_class"))
+        open_ = with_leader(stored(common_buckets(marks), "common")).join(of("id"), "id").join(of("leader"), "leader").where("id_class <> leader_class").select("leader", "id")
+        wanted = stored(open_.join(compared, ["leader", "id"], "left_anti"), "pairs")
         found = stored(verified(wanted, texts, threshold, True), "verdicts")
         if found.where("near").isEmpty():
             return links.select(F.col("leader").alias("a"), F.col("id").alias("b"))
