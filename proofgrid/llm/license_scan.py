@@ -146,29 +146,28 @@ class Template:
             self.places[0][w] = self.places[0].get(w, 0) | 1 << k
             self.places[1][w] = self.places[1].get(w, 0) | 1 << (self.size - 1 - k)
 
-    def grown(self, words, backwards: bool = False):
-        """The longest common subsequence of the template with words[: k + 1], for each k at which it grows: (k, length)."""
-        places, full = self.places[backwards], (1 << self.size) - 1
-        row, length = full, 0
-        for k, w in enumerate(words):
-            hit = row & places[w]
+    def reached(self, words: list[str], at: int, stop: int, step: int = 1) -> int | None:
+        """The first place, from `at` in steps of 1 or -1 before `stop`, at which `need` words of the template are in order (read backwards with -1)."""
+        places, full, row = self.places[step < 0], (1 << self.size) - 1, (1 << self.size) - 1
+        for k in range(at, stop, step):
+            hit = row & places[words[k]]
             row = ((row + hit) | (row - hit)) & full
-            if (now := self.size - row.bit_count()) > length:
-                length = now
-                yield k, length
-
-    def reached(self, words, backwards: bool = False) -> int | None:
-        """The first place in words at which `need` words of the template are in order."""
-        return next((k for k, n in self.grown(words, backwards) if n >= self.need), None)
-
-    def furthest(self, words, enough: int, backwards: bool = False) -> int:
-        """The last place at which the common subsequence grows, from `enough` on in steps of at most a quarter of the template's words."""
-        last = 0
-        for k, _ in self.grown(words, backwards):
-            if k > max(last, enough) + max(8, self.size // 4):
+            if self.size - row.bit_count() >= self.need:
+                return k
+        return None
+
+    def furthest(self, words: list[str], at: int, stop: int, enough: int, step: int = 1) -> int:
+        """The last place, `enough` or one further on, at which the common subsequence from `at` grows, in steps of at most a quarter of the template's words: nothing is read beyond."""
+        places, full, row = self.places[step < 0], (1 << self.size) - 1, (1 << self.size) - 1
+        last, length, most = enough, 0, max(8, self.size // 4)
+        for k in range(at, stop, step):
+            if length == self.size or (k - last) * step > most:
                 break
-            last = k
-        return max(last, enough)
+            hit = row & places[words[k]]
+            row = ((row + hit) | (row - hit)) & full
+            if (now := self.size - row.bit_count()) > length:
+                length, last = now, (max if step > 0 else min)(last, k)
+        return last
 
 
 class Scanner:
@@ -201,16 +200,15 @@ class Scanner:
         """(template, pairs, first word, last word) of each match; hits are the text's words that the template has, with their number."""
         words, at = [w for _, w in hits], 0
         while at < len(words):
-            end = t.reached(words[at:])
+            end = t.reached(words, at, len(words))
             if end is None:
                 return
-            end += at
-            start = end - t.reached(words[at : end + 1][::-1], backwards=True)
+            start = t.reached(words, end, at - 1, -1)
             if t.size < self.density * (hits[end][0] - hits[start][0] + 1):
                 at = start + 1
                 continue
-            low, high = start, start + t.furthest(words[start:], end - start)
-            low = high - t.furthest(words[at : high + 1][::-1], high - start, backwards=True)
+            high = t.furthest(words, start, len(words), end)
+            low = t.furthest(words, high, at - 1, start, -1)
             for a, b in ((low, high), (start, end)):
                 pairs = patience(t.words, words[a : b + 1])
                 if len(pairs) < t.need:

@@ -64,3 +64,17 @@ def test_very_long_texts_are_scanned_whole():
     body = " ".join(rng.choice(stock) for _ in range(60_000))
     found = scan.Scanner().scan(f"{body} {scan.TEMPLATES['Zlib']} {body}")
     assert any(m[0] == "Zlib" and m[1] > 0.95 for m in found)
+
+
+def test_repeated_and_partial_notices_take_time_in_proportion():
+    import time
+
+    for unit in ("All rights reserved. ", "All rights. ", "Permission is hereby granted, free of charge, to any person. ", scan.TEMPLATES["ISC"] + "\n"):
+        spent, found = [], []
+        for n in (300, 2400):
+            text = unit * n
+            began = time.process_time()
+            found.append(len(scan.Scanner().scan(text)))
+            spent.append(time.process_time() - began)
+        assert spent[1] < 8 * 3 * spent[0] + 0.5, (unit[:20], spent)
+        assert found[1] in (0, 8 * found[0]), unit[:20]
