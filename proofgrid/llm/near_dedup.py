@@ -3,7 +3,7 @@
 A text's k-mers are labelled with their occurrence (first, second, ... of the same words). Each of SKETCHES hash functions
 samples the SAMPLED smallest labelled k-mers and keeps them in text order; texts with an equal sketch are candidates, so
 what is found follows edit similarity, not the bare set of k-mers. FINE_SKETCHES more sample pairs of words (FINE_K) in the
-same way, for texts with edits so dense that few k-mers survive. Candidates count as near when their word sequences
+same way, for texts with edits so dense that few k-mers survive; of these sketches two have to be shared with a leader. Candidates count as near when their word sequences
 align with at most (1 - THRESHOLD) * the longer length edits (insert, delete, replace), found by alignment in a band of
 that width. Classes are the connected components of the verified links.
 
@@ -148,18 +148,19 @@ def comparable(threshold: float, a: str, b: str):
 
 
 def in_bands(keys: DataFrame, threshold: float) -> DataFrame:
-    """key, id, n_words: the members of buckets of two texts or more; buckets of unlike lengths as bands, two for each text, of which near texts share one."""
+    """key, id, n_words, weight: the members of buckets of two texts or more; buckets of unlike lengths as bands, two for each text, of which near texts share one."""
     found = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.max("n_words") * F.lit(threshold - 1e-9) > F.min("n_words")).alias("unlike")).where("n > 1")
     members = with_bucket(keys, stored(found, "buckets"))
     band = F.floor(F.ln("n_words") / F.lit(-np.log(threshold) * (1 + 1e-9)))
-    split = members.where("unlike").select(F.explode(F.array(band, band + 1)).alias("band"), "key", "id", "n_words").select(F.xxhash64("key", "band").alias("key"), "id", "n_words")
-    return members.where("NOT unlike").select("key", "id", "n_words").unionByName(split)
+    split = members.where("unlike").select(F.explode(F.array(band, band + 1)).alias("band"), "key", "id", "n_words", "weight").select(F.xxhash64("key", "band").alias("key"), "id", "n_words", "weight")
+    return members.where("NOT unlike").select("key", "id", "n_words", "weight").unionByName(split)
 
 
-def with_leader(keys: DataFrame) -> DataFrame:
-    """leader, id: different pairs of the members of buckets (key, id) of two texts or more and the smallest of them."""
+def with_leader(keys: DataFrame, least: int = 1) -> DataFrame:
+    """leader, id: different pairs of the members of buckets (key, id, weight) of two texts or more and the smallest of them, if the buckets they meet in weigh `least` together."""
     found = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return with_bucket(keys, stored(found, "buckets")).where("id <> leader").select("leader", "id").distinct()
+    met = with_bucket(keys, stored(found, "buckets")).where("id <> leader").groupBy("leader", "id").agg(F.sum("weight").alias("weight"))
+    return met.where(F.col("weight") >= least).select("leader", "id")
 
 
 def mark_kinds(words: np.ndarray) -> list[np.ndarray]:
@@ -289,15 +290,16 @@ def common_buckets(marks: DataFrame) -> DataFrame:
     chosen = marks.where((F.col("n") > RARE) & (F.col("mark") % 2 == 0)).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= COMMON)
     of_text = chosen.groupBy("leader", "id").agg(F.array_sort(F.collect_list("mark")).alias("all"))
     two = of_text.select("leader", "id", "all", F.explode("all").alias("one")).select("leader", "id", "one", F.explode("all").alias("other")).where("one < other")
-    return two.select(F.xxhash64("leader", "one", "other").alias("key"), "id")
+    return two.select(F.xxhash64("leader", "one", "other").alias("key"), "id", F.lit(1).alias("weight"))
 
 
 def near_links(sketches: DataFrame, contents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b) between different texts (id, content)."""
-    keys = sketches.where("sketch IS NOT NULL").select(F.explode("sketch").alias("key"), "id", "n_words")
+    # unrelated texts meet in one fine sketch now and then; near ones share several, or one of five-word k-mers
+    keys = sketches.where("sketch IS NOT NULL").select("id", "n_words", F.posexplode("sketch").alias("at", "key")).select("key", "id", "n_words", F.when(F.col("at") < SKETCHES, 2).otherwise(1).alias("weight"))
     members = stored(in_bands(keys, threshold), "bands")
     texts = stored(contents.select("id", F.col("content").alias("text")).join(members.select("id").distinct(), "id", "left_semi"), "texts", "zstd")
-    wanted = stored(with_leader(members.select("key", "id")), "pairs")
+    wanted = stored(with_leader(members, 2), "pairs")
     verdicts = stored(verified(wanted, texts, threshold, True), "verdicts")
     links, active, compared = verdicts.where("near"), wanted.select("leader").distinct(), wanted
     lengths = stored(sketches.select("id", "n_words").join(members.select("id").distinct(), "id", "left_semi"), "lengths")
