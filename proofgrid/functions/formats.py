@@ -21,7 +21,8 @@ TAGS = {
     "timestamp": r"^([0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4}|[0-9]{10}|[0-9]{13})$",
     "cve": r"(?i)^CVE-[0-9]{4}-[0-9]{4,7}$",
     "eth_address": r"^0x[0-9a-fA-F]{40}$",
-    "btc_address": r"^(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,62}$",
+    "crypto_address": r"^((bc1|[13])[a-zA-HJ-NP-Z0-9]{25,62}|0x[0-9a-fA-F]{40})$",
+    "hash": r"^([0-9a-fA-F]{16}|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128})$",
     "identifier_like": r"^[A-Za-z][A-Za-z_.-][A-Za-z0-9_.-]{0,29}$",
     "non_ascii": r"[^\x00-\x7F]",
 }

@@ -8,6 +8,7 @@ found by the technique's phase.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,17 @@ def rank_in(order: tuple[str, ...], value: Column) -> Column:
 
 
 def write_snapshot(objects: DataFrame, path: str) -> None:
-    """One folder for each matrix and version, never written twice."""
-    objects.repartition("matrix", "version").write.partitionBy("matrix", "version").mode("errorifexists").parquet(path)
+    """One folder for each matrix and version, never written twice: raises if a version is there. For writers at the same time see sources.versions."""
+    keys = ["matrix", "version"]
+    try:
+        there = objects.sparkSession.read.schema(objects.schema).parquet(path).select(*keys).distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        if taken := objects.select(*keys).distinct().join(there, keys).head():
+            raise ValueError(f"version {taken['version']} of {taken['matrix']} is there")
+    objects.repartition(*keys).write.partitionBy(*keys).mode("append").parquet(path)
 
 
 def read_snapshot(spark, path: str, schema) -> DataFrame:

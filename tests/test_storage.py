@@ -82,3 +82,15 @@ def test_missing_rows_are_noticed(spark, tmp_path):
     next((tmp_path / "t" / made["folder"]).glob("part-*.parquet")).unlink()
     with pytest.raises(RuntimeError, match="has 50 rows, not 100"):
         versions.read_version(spark, root)
+
+
+def test_snapshots_of_matrices_add_versions(spark, tmp_path):
+    from proofgrid.operators import attack
+
+    rows = lambda *versions: spark.createDataFrame([("m", v, f"id{k}") for v in versions for k in range(2)], "matrix string, version string, stix_id string")
+    path = str(tmp_path / "s")
+    attack.write_snapshot(rows("1.0"), path)
+    attack.write_snapshot(rows("2.0", "3.0"), path)
+    with pytest.raises(ValueError, match="version 2.0 of m is there"):
+        attack.write_snapshot(rows("2.0", "4.0"), path)
+    assert attack.read_snapshot(spark, path, rows("1.0").schema).count() == 6
