@@ -268,17 +268,18 @@ def sketched(texts: DataFrame) -> DataFrame:
     return texts.select("id", "content").mapInArrow(sketch, "id long, n_words long, sketch array<long>")
 
 
-def marked_members(verdicts: DataFrame, active: DataFrame) -> DataFrame:
-    """leader, id, marks (how many it has), mark, n (how many texts of the leader have the mark, two at least) for leaders of active that aren't near all their texts."""
+def marked_members(verdicts: DataFrame, active: DataFrame, members: DataFrame) -> DataFrame:
+    """leader, id, n_words, class_id, marks (how many it has), mark, n (how many texts of the leader have the mark, two at least) for leaders of active that aren't near all their texts. members: id, n_words, class_id."""
     mixed = verdicts.groupBy("leader").agg(F.count(F.lit(1)).alias("met"), F.count_if(~F.col("near")).alias("far")).where("met > 1 AND far > 0").join(active, "leader", "left_semi").select("leader")
-    rows = stored(verdicts.join(mixed, "leader").select("leader", "id", F.size("marks").alias("marks"), F.explode("marks").alias("mark")), "marks")
+    told = verdicts.join(mixed, "leader").join(members, "id")
+    rows = stored(told.select("leader", "id", "n_words", "class_id", F.size("marks").alias("marks"), F.explode("marks").alias("mark")), "marks")
     counts = rows.groupBy("leader", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return stored(rows.join(counts, ["leader", "mark"]), "shared-marks")
 
 
-def sharing_rare(marks: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """leader, id: pairs of texts from different classes that share MET rare marks, and whose lengths allow it. members: id, n_words, class_id."""
-    few = marks.where(F.col("n") <= RARE).join(members, "id").groupBy("leader", "mark").agg(F.collect_list(F.struct("id", "n_words", "class_id", "marks")).alias("all"))
+def sharing_rare(marks: DataFrame, threshold: float) -> DataFrame:
+    """leader, id: pairs of texts from different classes that share enough rare marks, and whose lengths allow it."""
+    few = marks.where(F.col("n") <= RARE).groupBy("leader", "mark").agg(F.collect_list(F.struct("id", "n_words", "class_id", "marks")).alias("all"))
     pairs = few.select("leader", F.explode("all").alias("a"), "all").select("leader", "a", F.explode("all").alias("b")).where("a.id < b.id AND a.class_id <> b.class_id").where(comparable(threshold, "a.n_words", "b.n_words"))
     met = pairs.groupBy("leader", F.col("a.id").alias("first"), F.col("b.id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("a.marks", "b.marks")).alias("marks"))
     return met.where(f"n >= greatest({MET}, marks div {SHARE})").select(F.col("first").alias("leader"), "id").distinct()
@@ -306,8 +307,8 @@ def near_links(sketches: DataFrame, contents: DataFrame, threshold: float = THRE
     while True:
         classes = components(links.select(F.col("leader").alias("a"), F.col("id").alias("b")))
         named = stored(lengths.join(classes, "id", "left").select("id", "n_words", F.coalesce("class_id", "id").alias("class_id")), "members")
-        marks = marked_members(verdicts, active)
-        direct = stored(sharing_rare(marks, named, threshold).join(compared, ["leader", "id"], "left_anti"), "pairs")
+        marks = marked_members(verdicts, active, named)
+        direct = stored(sharing_rare(marks, threshold).join(compared, ["leader", "id"], "left_anti"), "pairs")
         met = stored(verified(direct, texts, threshold), "verdicts")
         links, compared = links.union(met.where("near")), compared.union(direct)
         # what is of one class already needs no further link
