@@ -164,12 +164,22 @@ def signalled_freshness(indicators: DataFrame, signals: DataFrame) -> DataFrame:
     return indicators.join(last, "ioc_id", "left").select("ioc_id", state.alias("freshness"), (state == "ACTIVE").alias("live"), state.isin("SHARED_HOSTING", "CDN_PROXY").alias("weak_pivot"))
 
 
-def readiness(requirements: DataFrame, sources: DataFrame) -> DataFrame:
-    """module_id, capability, satisfied, reason, first_source for requirements (module_id, capability, required, least) by sources (slug, order, capabilities, qualification, wired)."""
+def qualified(sources: DataFrame) -> DataFrame:
+    """capability, need, n, n_wired, first_source: the sources of a capability that reach a qualification, at most one row for each of both."""
     offered = sources.select("slug", "order", "wired", place(QUALIFICATIONS, F.col("qualification")).alias("rank"), F.explode("capabilities").alias("capability"))
-    met = requirements.select("module_id", "capability", place(QUALIFICATIONS, F.col("least")).alias("need")).distinct().join(offered, "capability").where("rank >= need")
-    found = met.groupBy("module_id", "capability").agg(F.count(F.lit(1)).alias("n"), F.count_if("wired").alias("n_wired"), F.min_by("slug", F.when(F.col("wired"), F.col("order"))).alias("first_source"))
-    rows = requirements.join(found, ["module_id", "capability"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("n_wired", F.coalesce("n_wired", F.lit(0)))
+    first = F.min(F.when(F.col("wired") & F.col("order").isNotNull(), F.struct("order", "slug")))
+    ranks = offered.where("rank IS NOT NULL").groupBy("capability", "rank").agg(F.count(F.lit(1)).alias("n"), F.count_if("wired").alias("n_wired"), first.alias("first"))
+    reached = ranks.withColumn("need", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rank").cast("long"))))
+    return reached.groupBy("capability", "need").agg(F.sum("n").alias("n"), F.sum("n_wired").alias("n_wired"), F.min("first")["slug"].alias("first_source"))
+
+
+def readiness(requirements: DataFrame, sources: DataFrame) -> DataFrame:
+    """module_id, capability, satisfied, reason, first_source for requirements (module_id, capability, required, least) by sources (slug, order, capabilities, qualification, wired).
+
+    Requirements meet the sums of their capability's sources, never the sources themselves.
+    """
+    asked = requirements.select("module_id", "capability", "required", place(QUALIFICATIONS, F.col("least")).cast("long").alias("need"))
+    rows = asked.join(qualified(sources), ["capability", "need"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("n_wired", F.coalesce("n_wired", F.lit(0)))
     reason = F.coalesce(first_failing([(F.col("required") & (F.col("n") == 0), "no source qualifies"), (F.col("required") & (F.col("n_wired") == 0), "no connector is wired")]), F.lit(""))
     return rows.select("module_id", "capability", (~F.col("required") | (F.col("n_wired") > 0)).alias("satisfied"), reason.alias("reason"), "first_source")
 
