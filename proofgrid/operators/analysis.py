@@ -77,8 +77,10 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio, four digits."""
-    return pd.Series([round(difflib.SequenceMatcher(None, x or "", y or "").ratio(), 4) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Ratcliff-Obershelp ratio, four digits; names that come again in a batch are aligned once."""
+    pairs = list(zip(a, b, strict=True))
+    ratio = {(x, y): round(difflib.SequenceMatcher(None, x or "", y or "").ratio(), 4) for x, y in set(pairs)}
+    return pd.Series([ratio[p] for p in pairs], dtype="float64")
 
 
 def er_state(score: Column) -> Column:

@@ -13,6 +13,8 @@ from .analysis import name_similarity
 
 # Kinds whose names alone never make a match.
 WEAK_KINDS = ("person", "username", "email")
+# Into how many parts the rows of one block are dealt when pairs are made.
+LANES = 8
 # What a predicate says of its value, and what ties it to the subject.
 COLLECTED = {
     "dns.a": ("resolves_to", "ip_address"), "dns.aaaa": ("resolves_to", "ip_address"), "ip.asn": ("belongs_to_asn", "asn"), "ip.organization": ("operated_by", "organization"), "ip.location": ("located_at", "location"), "domain.subdomain_seen_in_ct": ("issued_for", "domain"),
@@ -77,13 +79,18 @@ def match_state(score: Column, weak: Column, corroborated: Column) -> Column:
 def matched_pairs(entities: DataFrame, blocks: list[str], attributes: list[str]) -> DataFrame:
     """left_id, right_id, score, state for pairs of entities (id, kind, name, n_evidence) of one kind and block.
 
-    The score is the likeness of normal names, 0.05 more for each attribute that both have alike, at most 1. Blocks are to
-    be small: every pair in one is scored.
+    The score is the likeness of normal names, 0.05 more for each attribute that both have alike, at most 1. Every pair of a
+    block is scored, so the rows of a block are dealt over LANES tasks, each of which meets all of the block: the pairs are
+    the work, and the few bytes that they come from would otherwise be merged into a task or two.
     """
     columns = ["id", "n_evidence", "norm", *attributes]
     rows = entities.withColumn("norm", normal_name(F.col("kind"), F.col("name"))).where("norm <> ''").select("kind", *blocks, *columns)
     left, right = (rows.withColumnsRenamed({c: f"{side}_{c}" for c in columns}) for side in ("left", "right"))
-    pairs = left.join(right, ["kind", *blocks]).where("left_id < right_id")
+    keys = ["kind", *blocks, "lane"]
+    many = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.withColumn("lane", F.pmod(F.xxhash64("left_id"), F.lit(LANES))).repartition(many, *keys)
+    right = right.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long")))).repartition(many, *keys)
+    pairs = left.join(right.hint("shuffle_hash"), keys).where("left_id < right_id")
     alike = sum((F.when((F.col(f"left_{a}") == F.col(f"right_{a}")) & (F.col(f"left_{a}").cast("string") != ""), 1).otherwise(0) for a in attributes), F.lit(0))
     likeness = F.when(F.col("left_norm") == F.col("right_norm"), 1.0).otherwise(name_similarity("left_norm", "right_norm"))
     scored = pairs.withColumn("score", F.round(F.least(F.lit(1.0), likeness + 0.05 * alike), 4))

@@ -1,6 +1,8 @@
 """Queries whose work is to grow no faster than their tables."""
 
-from proofgrid.operators import rules
+from pyspark.sql import functions as F
+
+from proofgrid.operators import entities, rules
 
 SOURCES = "slug string, `order` long, capabilities array<string>, qualification string, wired boolean"
 
@@ -15,3 +17,10 @@ def test_readiness_meets_sums_of_sources(spark):
     none = (False, "no source qualifies", None)
     want = [(1, "a", True, "", "s5"), (1, "a", *none), (2, "b", True, "", None), (3, "c", True, "", None), (4, "a", *none), (5, "x", *none)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_pairs_of_one_block_are_dealt_over_tasks(spark):
+    rows = spark.createDataFrame([(k, "person", f"n{k % 3}", 1, "x", "DE") for k in range(60)], "id long, kind string, name string, n_evidence int, block string, country string")
+    pairs = entities.matched_pairs(rows, ["block"], ["country"]).withColumn("task", F.spark_partition_id()).collect()
+    assert len({(r["left_id"], r["right_id"]) for r in pairs}) == len(pairs) == 60 * 59 // 2
+    assert len({r["task"] for r in pairs}) > 1
