@@ -74,16 +74,23 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def peeled(tasks: DataFrame, depends: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tasks by wave, as one table a wave, and the tasks in or above a cycle, which no wave reaches."""
-    known = depends.join(tasks.select(F.col("task_id").alias("depends_on")), "depends_on", "left_semi").distinct()
-    open_, left, done = held(known), held(tasks.select("task_id").distinct()), []
-    while True:
-        ready = held(left.join(open_.select("task_id").distinct(), "task_id", "left_anti").select("task_id", F.lit(len(done)).alias("wave")))
-        if ready.isEmpty():
-            return done, left
+    """Tasks by wave, as one table a wave, and the tasks in or above a cycle, which no wave reaches.
+
+    A wave looks only at what waits for the one before: the dependencies stay where they are, and of the tasks only those
+    with some dependencies done and others open are carried on.
+    """
+    many = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = held(tasks.select("task_id").distinct())
+    known = held(depends.join(every.select(F.col("task_id").alias("depends_on")), "depends_on", "left_semi").select("task_id", "depends_on").distinct())
+    asked = known.groupBy("task_id").agg(F.count(F.lit(1)).alias("asked"))
+    waiting = held(known.join(asked, "task_id").repartition(many, "depends_on"))
+    ready, done, partly = held(every.join(asked, "task_id", "left_anti").select("task_id", F.lit(0).alias("wave"))), [], None
+    while not ready.isEmpty():
         done.append(ready)
-        left = held(left.join(ready, "task_id", "left_anti"))
-        open_ = held(open_.join(ready.select(F.col("task_id").alias("depends_on")), "depends_on", "left_anti"))
+        met = waiting.join(ready.select(F.col("task_id").alias("depends_on")), "depends_on").select("task_id", "asked", F.lit(1).cast("long").alias("met"))
+        state = held((met if partly is None else met.union(partly)).groupBy("task_id", "asked").agg(F.sum("met").alias("met")))
+        ready, partly = state.where("met = asked").select("task_id", F.lit(len(done)).alias("wave")), state.where("met < asked").select("task_id", "asked", "met")
+    return done, every.join(reduce(DataFrame.union, done).select("task_id"), "task_id", "left_anti") if done else every
 
 
 def waves(tasks: DataFrame, depends: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from proofgrid.operators import entities, rules
+from proofgrid.operators import entities, graph, rules
 
 SOURCES = "slug string, `order` long, capabilities array<string>, qualification string, wired boolean"
 
@@ -24,3 +24,15 @@ def test_pairs_of_one_block_are_dealt_over_tasks(spark):
     pairs = entities.matched_pairs(rows, ["block"], ["country"]).withColumn("task", F.spark_partition_id()).collect()
     assert len({(r["left_id"], r["right_id"]) for r in pairs}) == len(pairs) == 60 * 59 // 2
     assert len({r["task"] for r in pairs}) > 1
+
+
+def test_a_wave_carries_only_what_waits_for_it(spark, monkeypatch):
+    """A chain of 12 waves beside 500 tasks that wait for its end: they are written with the tables and with their own wave."""
+    kept, hold = [], graph.held
+    monkeypatch.setattr(graph, "held", lambda df: kept.append(hold(df)) or kept[-1])
+    tasks = spark.createDataFrame([(k,) for k in range(512)], "task_id long")
+    depends = spark.createDataFrame([(k, k - 1) for k in range(1, 12)] + [(k, 11) for k in range(12, 510)] + [(510, 511), (511, 510), (510, 0)], "task_id long, depends_on long")
+    got = {r["task_id"]: r["wave"] for r in graph.waves(tasks, depends).collect()}
+    assert got == {k: k if k < 12 else 12 for k in range(510)} | {510: None, 511: None}
+    assert sum(df.count() for df in kept) < 5 * 512
+    assert {r["task_id"] for r in graph.cyclic(tasks, depends).collect()} == {510, 511}
