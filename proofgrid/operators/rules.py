@@ -93,11 +93,16 @@ def relation_problems(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """edges (source, target, kind, source_kind, target_kind, valid_from, valid_to) with problems, by vertices (entity_id)."""
     ids = vertices.select("entity_id").distinct()
     joined = edges.join(ids.select(F.col("entity_id").alias("source"), F.lit(True).alias("has_source")), "source", "left").join(ids.select(F.col("entity_id").alias("target"), F.lit(True).alias("has_target")), "target", "left")
+    return edge_problems(joined)
+
+
+def edge_problems(edges: DataFrame) -> DataFrame:
+    """relation_problems of edges that already say whether their ends are known (has_source, has_target: true or null)."""
     rules = [
         (F.col("has_source").isNull(), "unknown source"), (F.col("has_target").isNull(), "unknown target"), (F.coalesce(F.col("valid_from") > F.col("valid_to"), F.lit(False)), "valid_from after valid_to"),
         (~endpoints_valid(F.col("kind"), F.col("source_kind"), F.col("target_kind")), "endpoint kinds"),
     ]
-    return joined.withColumn("problems", violations(rules)).drop("has_source", "has_target")
+    return edges.withColumn("problems", violations(rules)).drop("has_source", "has_target")
 
 
 def claim_problems(claims: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:

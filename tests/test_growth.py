@@ -1,5 +1,6 @@
 """Queries whose work is to grow no faster than their tables."""
 
+import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from proofgrid.operators import entities, graph, rules
@@ -36,3 +37,10 @@ def test_a_wave_carries_only_what_waits_for_it(spark, monkeypatch):
     assert got == {k: k if k < 12 else 12 for k in range(510)} | {510: None, 511: None}
     assert sum(df.count() for df in kept) < 5 * 512
     assert {r["task_id"] for r in graph.cyclic(tasks, depends).collect()} == {510, 511}
+
+
+def test_lines_are_moved_with_numbers(spark):
+    """Names of ends are no join keys, so no row of a line is shuffled with them."""
+    plan = entry.queries()["relation_checks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 2 and all("source" not in line.split("Join ")[1] and "target" not in line.split("Join ")[1] for line in joins)
