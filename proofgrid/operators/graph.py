@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from ..sources.shared import held
 
 
+#: Levels of at most that many rows come to the edges by broadcast; larger ones meet them by a shuffle.
+FEW = 200_000
+
+
 def undirected(edges: DataFrame) -> DataFrame:
-    """a, b in both directions, each once."""
-    return edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source")).where("a <> b").distinct()
+    """a, b in both directions, each once; made of the different pairs, so that one row a pair is shuffled."""
+    pairs = edges.where("source <> target").select(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y")).distinct()
+    return pairs.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("e")).select("e.a", "e.b")
 
 
 def neighbors(edges: DataFrame) -> DataFrame:
@@ -31,12 +36,15 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> Data
     """
     both = held(undirected(edges))
     levels = [held(starts.select("start_id", F.col("start_id").alias("entity_id"), F.lit(0).alias("hops")))]
+    n = levels[0].count()
     while depth is None or len(levels) <= depth:
-        step = levels[-1].join(both, levels[-1]["entity_id"] == both["a"]).select("start_id", F.col("b").alias("entity_id")).distinct()
+        last = F.broadcast(levels[-1]) if n <= FEW else levels[-1]
+        step = last.join(both, levels[-1]["entity_id"] == both["a"]).select("start_id", F.col("b").alias("entity_id")).distinct()
         for near in levels[-2:]:
             step = step.join(near.select("start_id", "entity_id"), ["start_id", "entity_id"], "left_anti")
         found = held(step.select("start_id", "entity_id", F.lit(len(levels)).alias("hops")))
-        if found.isEmpty():
+        n = found.count()
+        if not n:
             break
         levels.append(found)
     return reduce(DataFrame.union, levels)

@@ -39,6 +39,15 @@ def test_a_wave_carries_only_what_waits_for_it(spark, monkeypatch):
     assert {r["task_id"] for r in graph.cyclic(tasks, depends).collect()} == {510, 511}
 
 
+def test_edges_are_moved_once_before_they_go_both_ways(spark):
+    edges = spark.createDataFrame([(f"a{k % 50}", f"b{k % 30}") for k in range(400)] + [("b1", "a1"), ("c", "c"), (None, "a1"), ("a1", None)], "source string, target string")
+    both = graph.undirected(edges)
+    want = {(a, b) for k in range(400) for a, b in ((f"a{k % 50}", f"b{k % 30}"), (f"b{k % 30}", f"a{k % 50}"))}
+    assert sorted(map(tuple, both.collect())) == sorted(want)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Union" not in plan
+
+
 def test_lines_are_moved_with_numbers(spark):
     """Names of ends are no join keys, so no row of a line is shuffled with them."""
     plan = entry.queries()["relation_checks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
