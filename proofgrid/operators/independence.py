@@ -55,13 +55,15 @@ def with_first(rows: DataFrame, among: DataFrame) -> DataFrame:
     return rows.join(firsts, F.expr("grp <=> g AND key = k")).withColumn("first", F.expr("CASE side WHEN 0 THEN s0 WHEN 1 THEN s2 ELSE s1 END")).drop("g", "k", "s0", "s1", "s2")
 
 
-def representatives(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """grp, doc_id, who (turn, doc_id) of every representative, in rounds of two stored tables each."""
-    undecided = held(docs)
+def representatives(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """grp, doc_id, who (turn, doc_id) of every representative, in rounds of three stored tables each. docs: grp, doc_id, who; rows: their keys, with who.
+
+    A round reads only the documents and keys that are undecided.
+    """
+    undecided, live = docs, rows
     own = lambda left, right: F.expr(f"{left}.grp <=> {right}.grp AND {left}.doc_id = {right}.doc_id")
     found = None
     while True:
-        live = keys.alias("k").join(undecided.alias("u"), own("k", "u")).select("k.*", "u.who")
         waits = with_first(live, live).where("first < who").select("grp", "doc_id").distinct()
         new = held(undecided.alias("u").join(waits.alias("w"), own("u", "w"), "left_anti"))
         found = new if found is None else found.union(new)
@@ -72,15 +74,15 @@ def representatives(docs: DataFrame, keys: DataFrame) -> DataFrame:
         undecided = held(undecided.alias("u").join(gone.alias("g"), own("u", "g"), "left_anti"))
         if undecided.isEmpty():
             return found
+        live = held(live.alias("k").join(undecided.alias("u"), own("k", "u"), "left_semi"))
 
 
 def independent_clusters(docs: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     """grp, doc_id, representative, kind, reason: the first representative that each document depends on, and by which rule; representatives are their own."""
-    keys = held(rule_keys(docs, similar).distinct())
     every = held(docs.groupBy("grp", "doc_id").agg(F.min("turn").alias("turn")).select("grp", "doc_id", F.struct("turn", "doc_id").alias("who")))
-    firsts = representatives(every, keys)
     own = lambda left, right: F.expr(f"{left}.grp <=> {right}.grp AND {left}.doc_id = {right}.doc_id")
-    rows = keys.alias("k").join(every.alias("u"), own("k", "u")).select("k.*", "u.who")
+    rows = held(rule_keys(docs, similar).distinct().alias("k").join(every.alias("u"), own("k", "u")).select("k.*", "u.who"))
+    firsts = representatives(every, rows)
     heads = rows.alias("k").join(firsts.alias("n"), own("k", "n"), "left_semi")
     best = with_first(rows, heads).where("first < who").groupBy("grp", "doc_id").agg(F.min(F.struct("first", "rule")).alias("best"))
     joined = every.alias("e").join(best.alias("b"), own("e", "b"), "left").join(firsts.select("grp", "doc_id", F.lit(True).alias("is_first")).alias("f"), own("e", "f"), "left")

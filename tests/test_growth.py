@@ -3,7 +3,7 @@
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from proofgrid.operators import entities, graph, rules
+from proofgrid.operators import entities, graph, independence, rules
 
 SOURCES = "slug string, `order` long, capabilities array<string>, qualification string, wired boolean"
 
@@ -53,3 +53,15 @@ def test_lines_are_moved_with_numbers(spark):
     plan = entry.queries()["relation_checks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert len(joins) == 2 and all("source" not in line.split("Join ")[1] and "target" not in line.split("Join ")[1] for line in joins)
+
+
+def test_a_round_reads_only_undecided_keys(spark, monkeypatch):
+    """One publisher's 300 documents are decided in the first round; a chain of upstreams goes on."""
+    kept, hold = [], independence.held
+    monkeypatch.setattr(independence, "held", lambda df: kept.append(hold(df)) or kept[-1])
+    rows = [("g", k, k, None, None, "p", None) for k in range(300)] + [("g", 1000 + k, 1000 + k, None, f"s{k}", None, f"s{k - 1}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "grp string, doc_id long, turn long, sha256 string, source string, publisher string, upstream string")
+    got = {r["doc_id"]: r["representative"] for r in independence.independent_clusters(docs).collect()}
+    assert got == {k: 0 for k in range(300)} | {1000 + k: 1000 + k - k % 2 for k in range(6)}
+    live = [df.count() for df in kept if "key" in df.columns]
+    assert len(live) == 3 and live[1] < 20 and live[2] < live[1]
