@@ -1,14 +1,18 @@
 """Document independence: word shingles, exact Jaccard by an inverted join on rare shingles, MinHash, clusters of copies.
 
 Equal normalised texts are one text first. The similarity join is exact: two sets with a Jaccard of t share one of their
-n - ceil(t * n) + 1 rarest shingles, so only those are joined; every candidate is then counted over whole sets.
+n - ceil(t * n) + 1 rarest shingles, so only those are joined. Shingles of one text alone are the rarest and never meet,
+so a text with fewer than ceil(t * n) others is left out, and of a pair the shingles from the one it meets in on must be
+enough; every candidate is then counted over whole sets.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashes import run_hashes
 from ..functions.text import bound, normalised
 from .graph import components, held
 
@@ -24,23 +28,22 @@ def shingles(text: Column, k: int = 8) -> Column:
 
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id, body: the normalised text; rep_id: the smallest id with the same."""
-    rows = docs.select("doc_id", normalised(F.col("text")).alias("body"))
-    reps = rows.groupBy("body").agg(F.min("doc_id").alias("rep_id")).select("rep_id", F.sha2("body", 256).alias("key"))
-    return rows.select("doc_id", F.sha2("body", 256).alias("key"), "body").join(reps, "key").drop("key")
+    rows = held(docs.select("doc_id", normalised(F.col("text")).alias("body")).select("doc_id", F.sha2("body", 256).alias("key"), "body"))
+    return rows.join(rows.groupBy("key").agg(F.min("doc_id").alias("rep_id")), "key").drop("key")
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """doc_a, doc_b, jaccard for sets (doc_id, items array<long>) with a Jaccard of threshold or more."""
-    sized = sets.withColumn("n", F.size("items")).where("n > 0")
-    rows = sized.select("doc_id", "n", F.explode("items").alias("item"))
-    often = rows.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = rows.join(often, "item", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    """doc_a, doc_b, jaccard for sets (doc_id, items array<long>, each different) with a Jaccard of threshold or more."""
+    least = lambda n: F.ceil(n * F.lit(threshold) - F.lit(1e-9))
+    rows = sets.select("doc_id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    live = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("item"))).where("df > 1")
     order = Window.partitionBy("doc_id").orderBy("df", "item")
-    prefix = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).where("df > 1")
-    prefix = held(prefix.select("doc_id", "n", "item"))
-    left, right = prefix.toDF("doc_a", "n_a", "item"), prefix.toDF("doc_b", "n_b", "item")
-    close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold)
-    pairs = left.join(right, "item").where((F.col("doc_a") < F.col("doc_b")) & close).select("doc_a", "doc_b").distinct()
+    ranked = live.withColumn("place", F.row_number().over(order)).withColumn("n_live", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    prefix = held(ranked.where(F.col("place") <= F.col("n_live") - least(F.col("n")) + 1).select("doc_id", "n", (F.col("n_live") - F.col("place")).alias("after"), "item"))
+    left, right = prefix.toDF("doc_a", "n_a", "after_a", "item"), prefix.toDF("doc_b", "n_b", "after_b", "item")
+    # a pair's first common shingle leaves room for the others it needs
+    enough = (F.least("after_a", "after_b") + 1) * F.lit(1 + threshold) >= (F.col("n_a") + F.col("n_b")) * F.lit(threshold) - F.lit(1e-6)
+    pairs = left.join(right, "item").where((F.col("doc_a") < F.col("doc_b")) & enough).select("doc_a", "doc_b").distinct()
     full = sets.select("doc_id", "items")
     both = pairs.join(full.toDF("doc_a", "items_a"), "doc_a").join(full.toDF("doc_b", "items_b"), "doc_b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
@@ -48,10 +51,31 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("jaccard") >= threshold).select("doc_a", "doc_b", "jaccard")
 
 
+def shingle_codes(body: str, k: int) -> np.ndarray:
+    """Different hashes of the runs of k words of a normalised text; a shorter text is one run, an empty one has none."""
+    data = np.frombuffer(body.encode(), np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    blanks = np.flatnonzero(data == 32)
+    starts, ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(data)]])
+    k = min(k, len(starts))
+    return np.unique(run_hashes(data, starts[: len(starts) - k + 1], ends[k - 1 :]))
+
+
 def shingle_sets(bodies: DataFrame, k: int = 8) -> DataFrame:
     """doc_id, items: 64-bit hashes of the shingles of each different text."""
-    own = bodies.where("doc_id = rep_id")
-    return own.select("doc_id", F.transform(shingles(F.col("body"), k), lambda s: F.xxhash64(s)).alias("items"))
+
+    def of(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            codes = [shingle_codes(body, k) for body in batch.column("body").to_pylist()]
+            offsets = np.cumsum([0, *map(len, codes)], dtype=np.int32)
+            items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*codes, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), items], ["doc_id", "items"])
+
+    own = bodies.where("doc_id = rep_id").select("doc_id", "body")
+    return own.mapInArrow(of, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, items array<long>")
 
 
 def minhash(docs: DataFrame, k: int = 8, permutations: int = 64) -> DataFrame:

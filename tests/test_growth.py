@@ -3,7 +3,8 @@
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from proofgrid.operators import entities, graph, independence, rules
+from proofgrid.functions.text import normalised
+from proofgrid.operators import documents, entities, graph, independence, rules
 
 SOURCES = "slug string, `order` long, capabilities array<string>, qualification string, wired boolean"
 
@@ -65,3 +66,35 @@ def test_a_round_reads_only_undecided_keys(spark, monkeypatch):
     assert got == {k: 0 for k in range(300)} | {1000 + k: 1000 + k - k % 2 for k in range(6)}
     live = [df.count() for df in kept if "key" in df.columns]
     assert len(live) == 3 and live[1] < 20 and live[2] < live[1]
+
+
+def test_a_pair_at_the_threshold_is_met(spark):
+    """0.55 * 100 is a little more than 55 in floats."""
+    sets = spark.createDataFrame([(1, list(range(100))), (2, list(range(45, 100)))], "doc_id long, items array<long>")
+    assert [tuple(r) for r in documents.similar_pairs(sets, 0.55).collect()] == [(1, 2, 0.55)]
+
+
+def test_texts_are_normalised_once(spark):
+    plan = documents.texts(spark.createDataFrame([(1, "a b"), (2, "A  b"), (3, None)], "doc_id long, text string"))
+    assert sorted(map(tuple, plan.collect())) == [(1, "a b", 1), (2, "a b", 1), (3, "", 3)]
+    assert "regexp_replace" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shingles_of_one_text_alone_are_not_ranked(spark):
+    """The join of shingles back to their texts carried those of one text alone, too; now the plan has one exchange by shingle and one by text before it holds the prefixes."""
+    calls, hold = [], documents.held
+    documents.held = lambda df: calls.append(df._jdf.queryExecution().optimizedPlan().toString()) or hold(df)
+    try:
+        sets = spark.createDataFrame([(k, list(range(k, k + 30))) for k in range(8)], "doc_id long, items array<long>")
+        assert documents.similar_pairs(sets, 0.85).count() == 7 + 6
+    finally:
+        documents.held = hold
+    assert "Join" not in calls[0] and "(df" in calls[0]
+
+
+def test_normalised_is_as_before(spark):
+    odd = ["", None, " a  b ", "X?utm_source=q&ref=1 referrer=z ref= utm_=1", "Ünï — ref=a&b\u212a", "utm_a=1utm_b=2 c", "reference=1 prefref=x\ty"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    low = F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), r"(utm_[a-z]+=[^&\s]+|ref(errer)?=[^&\s]+)", "")
+    want = F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9 ]+", " "), " +", " "))
+    assert all(a == b for a, b in rows.select(normalised(F.col("t")), want).collect())
