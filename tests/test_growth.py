@@ -3,8 +3,8 @@
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from proofgrid.functions.text import normalised
-from proofgrid.operators import documents, entities, graph, independence, rules
+from proofgrid.functions.text import in_span, normalised
+from proofgrid.operators import attack, cases, documents, entities, graph, independence, rules, trace
 
 SOURCES = "slug string, `order` long, capabilities array<string>, qualification string, wired boolean"
 
@@ -98,3 +98,13 @@ def test_normalised_is_as_before(spark):
     low = F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), r"(utm_[a-z]+=[^&\s]+|ref(errer)?=[^&\s]+)", "")
     want = F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9 ]+", " "), " +", " "))
     assert all(a == b for a, b in rows.select(normalised(F.col("t")), want).collect())
+
+
+def test_spans_are_counted_by_runs(spark):
+    odd = spark.createDataFrame([("Ünï код αβ 中文 𠀀 ا",), ("",), ("plain words of the text",)], "t string")
+    for span in ("A-Za-zÀ-ſ", "Ѐ-ӿ", "Ͱ-Ͽ", "一-鿿", "؀-ۿ"):
+        want = F.length(F.regexp_replace("t", f"[^{span}]", ""))
+        assert all(a == b for a, b in odd.select(in_span(F.col("t"), span), want).collect())
+    for name in ("language_id", "script_counts"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "[^Ѐ-ӿ]+" in plan and "[^Ѐ-ӿ]," not in plan
