@@ -110,16 +110,20 @@ def overlay(mappings: DataFrame) -> DataFrame:
 def compared(mappings: DataFrame, pairs: DataFrame) -> DataFrame:
     """id_a, id_b, level, item, side (common, a, b), procedures_differ for pairs of malware.
 
-    Procedures of a shared technique differ if the sets of both with their numbers do; sums of hashes stand for the sets.
+    Procedures of a shared technique differ if the sets of both with their numbers do; sums of the halves of hashes stand
+    for the sets. All that is summed or compared is a number, so that it goes by hash and without a sort.
     """
-    effective = mappings.select("malware_id", "procedure", F.explode(F.array(
+    effective = mappings.select("malware_id", F.xxhash64("procedure").alias("code"), F.explode(F.array(
         F.struct(F.lit("subtechnique").alias("level"), F.when(F.col("technique_id").contains("."), F.col("technique_id")).alias("item")), F.struct(F.lit("technique").alias("level"), parent(F.col("technique_id")).alias("item")), F.struct(F.lit("tactic").alias("level"), F.col("tactic_id").alias("item")),
-    )).alias("x")).select("malware_id", "procedure", "x.level", "x.item").where("item IS NOT NULL")
-    held = effective.groupBy("malware_id", "level", "item").agg(F.sum(F.xxhash64("procedure").cast("decimal(20,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
-    sides = pairs.select("id_a", "id_b", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("id_a").alias("malware_id")), F.struct(F.lit("b").alias("side"), F.col("id_b").alias("malware_id")))).alias("s")).select("id_a", "id_b", "s.side", "s.malware_id")
-    both = sides.join(held, "malware_id").groupBy("id_a", "id_b", "level", "item").agg(F.min("side").alias("low"), F.max("side").alias("high"), F.countDistinct("sum", "n").alias("kinds"))
-    side = F.when(F.col("low") != F.col("high"), "common").otherwise(F.col("low"))
-    return both.select("id_a", "id_b", "level", "item", side.alias("side"), ((side == "common") & (F.col("kinds") > 1) & (F.col("level") == "technique")).alias("procedures_differ"))
+    )).alias("x")).select("malware_id", "code", "x.level", "x.item").where("item IS NOT NULL")
+    sums = [F.sum(half).alias(name) for name, half in (("high", F.shiftright("code", 32)), ("low", F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))), ("n", F.lit(1)))]
+    held = effective.groupBy("malware_id", "level", "item").agg(*sums)
+    sides = pairs.select("id_a", "id_b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("id_a").alias("malware_id")), F.struct(F.lit(1).alias("side"), F.col("id_b").alias("malware_id")))).alias("s")).select("id_a", "id_b", "s.side", "s.malware_id")
+    span = lambda c: [F.min(c).alias(f"least_{c}"), F.max(c).alias(f"most_{c}")]
+    both = sides.join(held, "malware_id").groupBy("id_a", "id_b", "level", "item").agg(*[x for c in ("side", "high", "low", "n") for x in span(c)])
+    side = F.when(F.col("least_side") != F.col("most_side"), "common").when(F.col("least_side") == 0, "a").otherwise("b")
+    differ = F.expr("least_high <> most_high OR least_low <> most_low OR least_n <> most_n")
+    return both.select("id_a", "id_b", "level", "item", side.alias("side"), ((side == "common") & differ & (F.col("level") == "technique")).alias("procedures_differ"))
 
 
 def agreed(passes: DataFrame) -> DataFrame:

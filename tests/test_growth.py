@@ -108,3 +108,13 @@ def test_spans_are_counted_by_runs(spark):
     for name in ("language_id", "script_counts"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "[^Ѐ-ӿ]+" in plan and "[^Ѐ-ӿ]," not in plan
+
+
+def test_sides_are_compared_by_numbers(spark):
+    rows = [(1, "p", "T1.001", None), (1, "q", "T1.001", "TA1"), (2, "q", "T1", "TA1"), (2, None, "T2", None), (3, None, "T2", None), (3, "p", None, "TA1")]
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (2, 3)], "id_a long, id_b long")
+    found = attack.compared(spark.createDataFrame(rows, "malware_id long, procedure string, technique_id string, tactic_id string"), pairs)
+    want = [(1, 2, "subtechnique", "T1.001", "a", False), (1, 2, "technique", "T1", "common", True), (1, 2, "technique", "T2", "b", False), (1, 2, "tactic", "TA1", "common", False), (2, 3, "technique", "T1", "a", False), (2, 3, "technique", "T2", "common", False), (2, 3, "tactic", "TA1", "common", False), (3, 4, "technique", "T2", "a", False), (3, 4, "tactic", "TA1", "a", False)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "decimal" not in plan
