@@ -118,3 +118,12 @@ def test_sides_are_compared_by_numbers(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "decimal" not in plan
+
+
+def test_a_trace_keeps_no_more_steps_than_calls(spark, monkeypatch):
+    kept, hold = [], trace.held
+    monkeypatch.setattr(trace, "held", lambda df: kept.append(hold(df)) or kept[-1])
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a in range(12) for b in range(12)], "source string, target string")
+    found = trace.budgeted_trace(edges, spark.createDataFrame([("n1",), ("n2",)], "start_id string"), spark.createDataFrame([], "address string, label string"), calls=5).collect()
+    assert len(found) == 2 * (1 + 5 * 10)
+    assert all(df.count() <= 2 * 5 for df in kept if "path" in df.columns)
