@@ -88,20 +88,21 @@ def promotions(requests: DataFrame) -> DataFrame:
     target = F.array_position(F.array(*map(F.lit, RUNGS)), F.col("target")) - 1
     strong = F.size(F.array_except("signals", F.array(*map(F.lit, WEAK_SIGNALS)))) > 0
     good = (F.col("n_evidence") > 0) & strong & ((F.col("target") != RUNGS[-1]) | (F.col("n_independent") >= 2))
-    rows = requests.withColumn("rung", target).withColumn("good", good)
-    reached = rows.select("lead_id").distinct().withColumn("at0", F.lit(None).cast("long"))
-    for k in range(1, len(RUNGS)):
-        after = rows.join(reached.select("lead_id", F.col(f"at{k - 1}").alias("before")), "lead_id").where((F.col("rung") == k) & F.col("good"))
-        below = F.lit(True) if k == 1 else F.col("seq") > F.col("before")
-        reached = reached.join(after.where(below).groupBy("lead_id").agg(F.min("seq").alias(f"at{k}")), "lead_id", "left")
-    judged = rows.join(reached.drop("at0"), "lead_id")
+    weak = F.arrays_overlap("signals", F.array(*map(F.lit, WEAK_SIGNALS)))
+    # what a request is, without its rungs, is a number; names and signals aren't moved
+    lacks = F.when(F.col("n_evidence") == 0, 0).when(~strong, 1).when((F.col("target") == RUNGS[-1]) & (F.col("n_independent") < 2), 2)
+    rows = requests.select("request_id", "lead_id", "seq", target.cast("int").alias("rung"), lacks.alias("lacks"), weak.alias("weak"), good.alias("good")).where("lead_id IS NOT NULL")
+    reached = rows.where("good AND rung = 1").groupBy("lead_id").agg(F.min("seq").alias("at1"))
+    for k in range(2, len(RUNGS)):
+        after = rows.where(f"good AND rung = {k}").select("lead_id", "seq").join(reached.select("lead_id", F.col(f"at{k - 1}").alias("before")), "lead_id").where("seq > before")
+        reached = reached.join(after.groupBy("lead_id").agg(F.min("seq").alias(f"at{k}")), "lead_id", "left")
+    judged = rows.join(reached, "lead_id", "left")
     level = reduce(lambda a, b: a + b, [F.when(F.col(f"at{k}") < F.col("seq"), 1).otherwise(0) for k in range(1, len(RUNGS))])
+    said = F.array(*map(F.lit, ("abstain_no_evidence", "non_discriminating_signal_only", "corroboration_requires_2_independent_sources")))
     reason = F.coalesce(first_failing([
-        (F.col("rung") < 0, "unknown_level"), (F.col("rung") <= F.col("level"), "not_a_promotion"), (F.col("rung") > F.col("level") + 1, "cannot_skip_ladder_rungs"), (F.col("n_evidence") == 0, "abstain_no_evidence"),
-        (~strong, "non_discriminating_signal_only"), ((F.col("target") == RUNGS[-1]) & (F.col("n_independent") < 2), "corroboration_requires_2_independent_sources"),
-    ]), F.lit("promoted"))
-    weak = F.arrays_overlap("signals", F.array(*map(F.lit, WEAK_SIGNALS)))
-    return judged.withColumn("level", level).withColumn("reason", reason).select("request_id", "lead_id", (F.col("reason") == "promoted").alias("accepted"), "reason", ((F.col("reason") == "promoted") & weak).alias("limited"))
+        (F.col("rung") < 0, "unknown_level"), (F.col("rung") <= F.col("level"), "not_a_promotion"), (F.col("rung") > F.col("level") + 1, "cannot_skip_ladder_rungs"),
+    ]), F.get(said, F.col("lacks")), F.lit("promoted"))
+    return judged.withColumn("level", level).withColumn("reason", reason).select("request_id", "lead_id", (F.col("reason") == "promoted").alias("accepted"), "reason", ((F.col("reason") == "promoted") & F.col("weak")).alias("limited"))
 
 
 def attribution_levels(requests: DataFrame, judged: DataFrame) -> DataFrame:

@@ -127,3 +127,12 @@ def test_a_trace_keeps_no_more_steps_than_calls(spark, monkeypatch):
     found = trace.budgeted_trace(edges, spark.createDataFrame([("n1",), ("n2",)], "start_id string"), spark.createDataFrame([], "address string, label string"), calls=5).collect()
     assert len(found) == 2 * (1 + 5 * 10)
     assert all(df.count() <= 2 * 5 for df in kept if "path" in df.columns)
+
+
+def test_requests_are_moved_without_signals(spark):
+    rows = [(1, 7, 1, "CLAIMED_IDENTITY", ["same_wallet"], 1, 0), (2, 7, 2, "CANDIDATE_ASSOCIATION", ["same_wallet", "shared_ip"], 1, 0), (3, 7, 3, "CORROBORATED_ATTRIBUTION", ["same_wallet"], 1, 1), (4, 7, 4, "CORROBORATED_ATTRIBUTION", ["same_wallet"], 1, 2), (5, 8, 5, "CANDIDATE_ASSOCIATION", ["x"], 1, 0), (6, 8, 6, "odd", ["x"], 1, 0), (7, None, 7, "CLAIMED_IDENTITY", ["x"], 1, 0), (8, 8, 8, "CLAIMED_IDENTITY", ["shared_ip"], 1, 0), (9, 8, 9, "CLAIMED_IDENTITY", ["x"], 0, 0)]
+    found = cases.promotions(spark.createDataFrame(rows, "request_id long, lead_id long, seq long, target string, signals array<string>, n_evidence int, n_independent int"))
+    want = {1: "promoted", 2: "promoted", 3: "corroboration_requires_2_independent_sources", 4: "promoted", 5: "cannot_skip_ladder_rungs", 6: "unknown_level", 8: "non_discriminating_signal_only", 9: "abstain_no_evidence"}
+    assert {r["request_id"]: r["reason"] for r in found.collect()} == want and [r["request_id"] for r in found.where("limited").collect()] == [2]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join " in line for line in plan.splitlines()) == 7
