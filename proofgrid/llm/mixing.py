@@ -112,12 +112,13 @@ def schedule(targets: DataFrame, width: int, points=golden_points) -> DataFrame:
     return keyed.withColumn("local", F.row_number().over(inside)).join(counts, ["place", "chunk"]).select("slot", "place", (F.col("offset") + F.col("local") - 1).alias("nth"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, block: int = BLOCK_TOKENS, points=golden_points) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, block: int = BLOCK_TOKENS, points=golden_points, sizes: DataFrame | None = None) -> DataFrame:
     """Pieces of the mix: doc_id, digest, source, size, source_size, target, row, copy, slot, words; their order is (slot, copy, row).
 
     `row` tells documents with equal ids apart. Documents of which nothing is taken have one piece with a null slot and 0 words.
+    sizes: what sized() says of docs, if at hand.
     """
-    sizes = stored(sized(docs), "mixing-sizes")
+    sizes = stored(sized(docs), "mixing-sizes") if sizes is None else sizes
     targets = stored(source_targets(sizes, weights, share, most), "mixing-targets")
     many, total, rows = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
     width = block_width(total, block)
@@ -159,11 +160,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A copy stands where its first block's slot does; rows are dealt to partitions by ranges of slots and ordered in them.
     """
     keys = ["doc_id", "source", "digest"]
-    copies = mix_sources(docs, **options).where("words > 0").groupBy("row", "copy", *keys, "size").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
+    sizes = stored(sized(docs), "mixing-sizes")
+    copies = mix_sources(docs, sizes=sizes, **options).where("words > 0").groupBy("row", "copy", *keys, "size").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
     names = {"doc_id": "__its_id", "source": "__its_source", "digest": "__its_digest", "size": "__its_size", "taken": "__taken", "slot": "__slot", "copy": "__copy", "row": "__row"}
     copies = stored(copies.withColumnsRenamed(names), "mixing-copies")
     slots = (copies.agg(F.max("__slot")).first()[0] or 0) + 1
-    rows = docs.withColumn("__digest", F.md5(text_or_empty())).dropDuplicates(["doc_id", "source", "__digest"])
+    rows = docs.withColumn("__digest", F.md5(text_or_empty()))
+    if not sizes.groupBy(*keys).count().where("count > 1").isEmpty():  # else texts need no shuffle to be told apart
+        rows = rows.dropDuplicates(["doc_id", "source", "__digest"])
     joined = rows.join(copies, F.expr("doc_id <=> __its_id AND CAST(source AS string) <=> __its_source AND __digest = __its_digest"))
     first_words = F.array_join(F.slice(F.filter(F.split("text", WHITE), lambda w: w != ""), 1, F.col("__taken").cast("int")), " ")
     out = joined.withColumn("__new_text", F.when(F.col("__taken") < F.col("__its_size"), first_words).otherwise(F.col("text")))

@@ -229,3 +229,16 @@ def test_schedule_is_even(spark):
             assert abs(sum(s["place"] == place for s in slots[:upto]) - part * upto) <= 4
     nth = [s["nth"] for s in slots if s["place"] == 1]
     assert nth == list(range(len(nth)))
+
+
+def test_mixed_documents_group_texts_only_if_rows_repeat(spark):
+    rows = [(k, f"w{k} " * (1 + k % 7), f"s{k % 3}") for k in range(60)]
+    once = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    twice = mixing.mixed_documents(spark.createDataFrame([*rows, rows[5]], "doc_id long, text string, source string"))
+    grouped = lambda df: "Aggregate" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert grouped(twice) and not grouped(once)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_totals(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    words = dict.fromkeys(taken, 0)
+    for r in once.collect():
+        words[r["doc_id"]] += len(r["text"].split())
+    assert words == taken
