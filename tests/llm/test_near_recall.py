@@ -96,3 +96,23 @@ def test_banded_edits_against_the_whole_table():
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(14))] for _ in range(2))
         most, want = rng.randrange(8), plain_edits(a, b)
         assert near_dedup.banded_edits(np.array(a, np.uint64), np.array(b, np.uint64), most) == (want if want <= most else None)
+
+
+@pytest.mark.parametrize("star", [512, 64])
+def test_pairs_that_share_no_mark(spark, monkeypatch, star):
+    """One passage in every text; planted pairs keep each fifth of their own words, all common, so that no rare word and no word pair is in both. star: texts of a block."""
+    monkeypatch.setattr(near_dedup, "STAR", star, raising=False)
+    rng = random.Random(4)
+    words, passage, texts = [f"w{k}" for k in range(200)], [f"p{k}" for k in range(152)], []
+    for _ in range(200):
+        mine = [rng.choice(words) for _ in range(48)]
+        texts.append(passage + mine)
+        if len(texts) % 3 == 1:
+            texts.append(passage + [w if at % 5 == 0 else rng.choice(words) for at, w in enumerate(mine)])
+    hashes = [word_hashes(" ".join(t)) for t in texts]
+    want = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if near_dedup.near(hashes[i], hashes[j]):
+            want = [want[i] if c == want[j] else c for c in want]
+    assert 180 < len(set(want)) <= 205
+    assert classes(spark, [" ".join(t) for t in texts]) == dict(enumerate(want))
