@@ -32,6 +32,8 @@ LOW, HIGH = 50, 95
 ROWS, ANCHORS = 4096, 1024
 #: Blocks of rows in a lane at most, where there are more blocks than partitions.
 LANE_BLOCKS = 32
+#: So many components of pairs are multiplied at once where pairs are scored one by one.
+NUMBERS = 1 << 20
 #: Numbers of segments, coarse to fine.
 SEGMENTS = (1, 4, 16)
 _NEVER = -np.inf
@@ -116,9 +118,10 @@ def scored(a: Side, b: Side, ai: np.ndarray, bi: np.ndarray, mask: np.ndarray) -
     """Exact scores of the pairs of mask as floats' integers, _NEVER elsewhere; few pairs are scored one by one."""
     if mask.sum() * 8 < mask.size:
         i, j = np.nonzero(mask)
-        x, y = a.vectors[ai[i]], b.vectors[bi[j]]
-        out = np.full(mask.shape, np.iinfo(np.int64).min)
-        out[i, j] = (x * y).sum(axis=1)
+        out, step = np.full(mask.shape, np.iinfo(np.int64).min), max(1, NUMBERS // a.vectors.shape[1])
+        for at in range(0, len(i), step):
+            x, y = i[at : at + step], j[at : at + step]
+            out[x, y] = (a.vectors[ai[x]] * b.vectors[bi[y]]).sum(axis=1)
         return out
     return np.where(mask, exact(a.vectors[ai], b.vectors[bi]), np.iinfo(np.int64).min)
 
@@ -191,12 +194,16 @@ def blocked(rows: DataFrame, width: int, size: int, many: int) -> DataFrame:
 
 
 def meetings(anchors: DataFrame, rows: DataFrame, lanes: int, same_label: bool) -> DataFrame:
-    """Blocks of anchors (a_...) beside blocks of rows: every pair, or those whose labels overlap."""
+    """Blocks of anchors (a_...) beside blocks of rows: every pair, or those whose labels overlap.
+
+    By a shuffle: by the size of its compressed files a table of blocks may look fit for a broadcast, but each lane has a
+    copy of it. A lane's pairs follow each other by blocks of anchors, so that thresholds are carried from block to block.
+    """
     # blocks are numbered by partition and place in it, so neighbours go to different lanes
     here = rows.withColumn("lane", F.expr(f"pmod(shiftright(block, 32) + (block & 4294967295), {lanes})"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long")))
     there = anchors.select(*[F.col(c).alias(f"a_{c}") for c in anchors.columns], every.alias("lane"))
-    both = there.join(here, "lane")
+    both = there.hint("merge").join(here.hint("merge"), "lane")
     return both.where("a_high >= low AND a_low <= high") if same_label else both
 
 
@@ -296,7 +303,7 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, block_rows: int = ROWS, b
     lanes = max(1, min(many, wanted), -(-many // LANE_BLOCKS))
     first = stored(first_of(meetings(anchors, blocks, lanes, True), width, False), "positives")
     of_block = first.groupBy("a_block").agg(F.collect_list(F.struct("slot", F.col("rank"), "score")).alias("positives"))
-    found = first_of(meetings(anchors.join(of_block.withColumnRenamed("a_block", "block"), "block"), blocks, lanes, False), width, True)
+    found = first_of(meetings(anchors.hint("merge").join(of_block.withColumnRenamed("a_block", "block"), "block"), blocks, lanes, False), width, True)
     # slots of negatives are those of positives times POSITIVES, and the positive's rank less 1
     named = found.select(
         "anchor_id", "a_block", F.expr(f"slot div {POSITIVES}").alias("slot"), F.expr(f"CAST(slot % {POSITIVES} AS INT) + 1").alias("positive_rank"), "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"),

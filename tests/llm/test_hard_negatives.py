@@ -89,3 +89,22 @@ def test_bounds_hold_and_leave_out(spark):
     ai, bi, mask = hard_negatives.candidates(side, side, all_rows, all_rows, low.astype(float))
     assert all(set(np.flatnonzero(exact[a] >= low[a])) <= set(bi[mask[k]]) for k, a in enumerate(ai)) and mask.sum() < 0.8 * mask.size
     assert np.array_equal(hard_negatives.exact(v * 2**26, v), exact * 2**26)
+
+
+def test_blocks_meet_by_a_shuffle(spark, tmp_path):
+    """Files of blocks of equal vectors are tiny, so they were broadcast, a copy for each lane: more than the driver takes."""
+    vectors = spark.range(300).selectExpr("id AS vec_id", "id % 3 AS label", "array(1L, 2L, 3L, 4L) AS vector", "id % 10 = 0 AS is_anchor")
+    blocks, anchors = hard_negatives.blocked(vectors, 4, 64, 3), hard_negatives.blocked(vectors.where("is_anchor"), 4, 8, 2)
+    met = hard_negatives.meetings(anchors, blocks, 2, False)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert met.count() == anchors.count() * blocks.count()
+
+
+def test_few_pairs_are_scored_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-400, 400, (60, 8))
+    side = hard_negatives.Side(np.arange(60, dtype="<i8").tobytes(), np.zeros(60, "<i8").tobytes(), v.astype("<i8").tobytes(), b"", 8)
+    mask, rows = rng.random((60, 60)) < 0.1, np.arange(60)
+    monkeypatch.setattr(hard_negatives, "NUMBERS", 20)
+    assert np.array_equal(hard_negatives.scored(side, side, rows, rows, mask), np.where(mask, v @ v.T, np.iinfo(np.int64).min))
