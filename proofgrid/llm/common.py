@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import mix, run_hashes
 from ..sources.shared import shared_path as scratch
-from ..sources.shared import shuffles_dropped
+from ..sources.shared import stored
 
 #: ASCII white space; words are the maximal runs of anything else.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -21,14 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, it survives the loss of executors, and the shuffle files that made it go."""
-    path = scratch(df.sparkSession, name)
-    with shuffles_dropped(df.sparkSession):
-        df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def filesystem(uri: str):
     """pyarrow's file system for a path or URI, and the path in it."""
     from pyarrow import fs

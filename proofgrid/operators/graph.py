@@ -11,16 +11,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import held
+from ..sources.shared import held, stored
 
 
 #: Levels of at most that many rows come to the edges by broadcast; larger ones meet them by a shuffle.
 FEW = 200_000
 
 
+def pairs_of(edges: DataFrame) -> DataFrame:
+    """x, y: the different pairs of ends, x being the smaller."""
+    return edges.where("source <> target").select(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y")).distinct()
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """a, b in both directions, each once; made of the different pairs, so that one row a pair is shuffled."""
-    pairs = edges.where("source <> target").select(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y")).distinct()
+    return both_ways(pairs_of(edges))
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("e")).select("e.a", "e.b")
 
 
@@ -32,17 +40,18 @@ def neighbors(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """start_id, entity_id, hops: the entities within depth hops of each start (column start_id), with the fewest hops.
 
-    A level holds what is new in it; edges go both ways, so a level's neighbours lie in it or in the two beside it.
+    A level holds what is new in it; edges go both ways, so a level's neighbours lie in it or in the two beside it. Pairs
+    are stored once, as Parquet, and read both ways by each level.
     """
-    both = held(undirected(edges))
-    levels = [held(starts.select("start_id", F.col("start_id").alias("entity_id"), F.lit(0).alias("hops")))]
+    both = both_ways(stored(pairs_of(edges), "pairs", "zstd"))
+    levels = [stored(starts.select("start_id", F.col("start_id").alias("entity_id"), F.lit(0).alias("hops")), "level", "zstd")]
     n = levels[0].count()
     while depth is None or len(levels) <= depth:
         last = F.broadcast(levels[-1]) if n <= FEW else levels[-1]
         step = last.join(both, levels[-1]["entity_id"] == both["a"]).select("start_id", F.col("b").alias("entity_id")).distinct()
         for near in levels[-2:]:
             step = step.join(near.select("start_id", "entity_id"), ["start_id", "entity_id"], "left_anti")
-        found = held(step.select("start_id", "entity_id", F.lit(len(levels)).alias("hops")))
+        found = stored(step.select("start_id", "entity_id", F.lit(len(levels)).alias("hops")), "level", "zstd")
         n = found.count()
         if not n:
             break

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import analysis, graph, ledger
@@ -61,17 +63,23 @@ def khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(place_edges(spark, sf_dir), starts, 3)
 
 
-def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def named(kind: str, column: str) -> Column:
+    return F.concat(F.lit(kind + ":"), F.col(column).cast("string"))
+
+
+def trade_edges(spark: SparkSession, sf_dir: str, tag: Callable[[str, str], Column] = named) -> DataFrame:
     """Customers to their orders, orders to the suppliers of their lines, a row for each line; graph operators take equal edges as one."""
-    tag = lambda kind, column: F.concat(F.lit(kind + ":"), F.col(column).cast("string"))
     placed = read(spark, sf_dir, "orders").select(tag("customer", "o_custkey").alias("source"), tag("order", "o_orderkey").alias("target"))
     return placed.union(read(spark, sf_dir, "lineitem").select(tag("order", "l_orderkey"), tag("supplier", "l_suppkey")))
 
 
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hops from the first supplier to everything that trade connects with it."""
-    start = read(spark, sf_dir, "supplier").agg(F.min("s_suppkey").alias("k")).select(F.concat(F.lit("supplier:"), F.col("k").cast("string")).alias("start_id"))
-    return graph.reach(trade_edges(spark, sf_dir), start).select(F.col("start_id").alias("src"), F.col("entity_id").alias("dst"), F.col("hops").alias("n_hops"))
+    """Hops from the first supplier to everything that trade connects with it; on the way entities are numbers, four times the key and the kind."""
+    kinds = ("customer", "order", "supplier")
+    number = lambda kind, column: F.col(column).cast("long") * 4 + kinds.index(kind)
+    name = lambda column: F.concat(F.element_at(F.array(*[F.lit(f"{k}:") for k in kinds]), F.col(column).bitwiseAND(3).cast("int") + 1), F.shiftright(column, 2).cast("string"))
+    start = read(spark, sf_dir, "supplier").agg(F.min("s_suppkey").alias("k")).select(number("supplier", "k").alias("start_id"))
+    return graph.reach(trade_edges(spark, sf_dir, number), start).select(name("start_id").alias("src"), name("entity_id").alias("dst"), F.col("hops").alias("n_hops"))
 
 
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,16 @@ def shuffles_dropped(spark: SparkSession):
 
 
 def held(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder."""
+    """df, computed once and kept in the checkpoint folder; the shuffle files that made it go."""
     shared_folder(df.sparkSession)
     with shuffles_dropped(df.sparkSession):
-        return df.checkpoint()
+        # a plan keeps the setting it was made under
+        return df.select("*").checkpoint()
+
+
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, it survives the loss of executors, and the shuffle files that made it go."""
+    path = shared_path(df.sparkSession, name)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path, compression=compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,7 @@
 """Queries whose work is to grow no faster than their tables."""
 
+import time
+
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
@@ -136,3 +138,31 @@ def test_requests_are_moved_without_signals(spark):
     assert {r["request_id"]: r["reason"] for r in found.collect()} == want and [r["request_id"] for r in found.where("limited").collect()] == [2]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join " in line for line in plan.splitlines()) == 7
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_what_is_held_leaves_no_shuffle_files(spark):
+    """The plan had been made before the setting, so the files stayed as long as the driver's objects."""
+    before = shuffle_files(spark)
+    assert len(graph.held(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).collect()) == 7
+    for _ in range(50):  # they are removed in the background
+        if not (made := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not made
+
+
+def test_hops_are_walked_over_numbers(spark, monkeypatch, tmp_path):
+    kept, store = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, *a: kept.append(df.dtypes) or store(df, *a))
+    monkeypatch.setattr(graph, "FEW", 1)
+    spark.createDataFrame([(-3,), (5,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(7, -9), (8, -9), (9, 1), (None, 1), (10, None)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(7, -3), (7, 5), (8, 6), (9, 4), (None, 6), (8, None), (10, 4)], "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["dst"]: r["n_hops"] for r in entry.queries()["shortest_path"](spark, str(tmp_path)).collect() if r["src"] == "supplier:-3"}
+    assert got == {"supplier:-3": 0, "order:7": 1, "supplier:5": 2, "customer:-9": 2, "order:8": 3, "supplier:6": 4}
+    assert kept and all(kind != "string" for columns in kept for _, kind in columns)
