@@ -53,3 +53,8 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     with shuffles_dropped(df.sparkSession):
         df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tabled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as a compressed table: several times smaller than what held() writes."""
+    return stored(df, "table", "zstd")

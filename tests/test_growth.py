@@ -3,6 +3,7 @@
 import time
 
 import __spark_entry__ as entry
+import numpy as np
 from pyspark.sql import functions as F
 
 from proofgrid.functions.text import in_span, normalised
@@ -166,3 +167,53 @@ def test_hops_are_walked_over_numbers(spark, monkeypatch, tmp_path):
     got = {r["dst"]: r["n_hops"] for r in entry.queries()["shortest_path"](spark, str(tmp_path)).collect() if r["src"] == "supplier:-3"}
     assert got == {"supplier:-3": 0, "order:7": 1, "supplier:5": 2, "customer:-9": 2, "order:8": 3, "supplier:6": 4}
     assert kept and all(kind != "string" for columns in kept for _, kind in columns)
+
+
+def near_sets(groups, copies, seed):
+    rng = np.random.default_rng(seed)
+    for g in range(groups):
+        base = rng.integers(-(1 << 62), 1 << 62, 40)
+        for _ in range(copies):
+            yield np.where(rng.random(40) < 0.15, rng.integers(-(1 << 62), 1 << 62, 40), base)[: int(rng.integers(25, 41))].tolist()
+
+
+def all_pairs(rows, threshold):
+    sets = {k: set(v) for k, v in rows}
+    scores = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and x | y}
+    return {pair: score for pair, score in scores.items() if score >= threshold}
+
+
+def test_sets_are_moved_for_blocks_not_for_pairs(spark, monkeypatch):
+    """Each candidate pair took both sets through two shuffles."""
+    monkeypatch.setattr(documents, "WEIGHT", 1200)  # groups are more than one block
+    rows = list(enumerate(near_sets(6, 24, 1))) + [(1000, []), (1001, [5]), (1002, [5])]
+    found = documents.similar_pairs(spark.createDataFrame(rows, "doc_id long, items array<long>"), 0.55)
+    want = all_pairs(rows, 0.55)
+    assert {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in found.collect()} == want and len(want) > 500
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "array_intersect" not in plan
+
+
+def test_items_that_share_a_code_lose_no_pair(spark):
+    """Hashes that differ in their last 26 bits count as one item when candidates are sought, not in the result."""
+
+    def unmixed(x):
+        for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9)):
+            x ^= x >> shift ^ x >> 2 * shift
+            x = x * pow(factor, -1, 1 << 64) % (1 << 64)
+        x ^= x >> 30 ^ x >> 60
+        return x - (1 << 64) if x >> 63 else x
+
+    item = lambda code, k: unmixed((code * 0x9E3779B97F4A7C15 % (1 << 38)) << 26 | k)
+    rows = [(1, [item(c, k) for c in range(20) for k in range(3)]), (2, [item(c, k) for c in range(20) for k in range(1, 4)]), (3, [item(c, 0) for c in range(20)]), (4, [item(c, 9) for c in range(20)]), (5, [item(c, k) for c in range(9, 20) for k in range(3)])]
+    sets = spark.createDataFrame(rows, "doc_id long, items array<long>")
+    assert documents.packed_items(sets, 0.5, 64).selectExpr("sum(aggregate(lost, 0, (a, x) -> a + x))").first()[0] == 40 + 40 + 22
+    found = documents.similar_pairs(sets, 0.5)
+    assert {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in found.collect()} == all_pairs(rows, 0.5) == {(1, 2): 0.5, (1, 5): 0.55}
+
+
+def test_common_items_are_counted_in_packed_rows(spark):
+    """A row for each item and document was moved to count how many have the item."""
+    rows = list(enumerate(near_sets(3, 50, 2)))
+    packed = documents.packed_items(spark.createDataFrame(rows, "doc_id long, items array<long>").coalesce(1), 0.55, 64)
+    assert packed.count() <= 65 and packed.selectExpr("sum(octet_length(codes))").first()[0] == 4 * sum(len(v) for _, v in rows)
