@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents, independence, trust
-from ..operators.graph import held
 from ..sources.adapters import TWINS, observations
+from ..sources.shared import tabled
 from ..sources.tables import read
 from .texts import _SETS
 from .trust_plane import _GATE, NOW
@@ -42,8 +42,8 @@ def independent_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in order of id: copies by hash, near copies and heavy overlap by eight-word shingles."""
     docs = read(spark, sf_dir, "documents")
-    bodies = held(documents.texts(docs))
-    similar = held(documents.similar_pairs(documents.shingle_sets(bodies), independence.PARTIAL))
+    bodies = tabled(documents.texts(docs))
+    similar = tabled(documents.similar_texts(bodies, independence.PARTIAL))
     # equal normalised texts are one text, for which its first document stands: they share its pairs
     none = F.lit(None).cast("string")
     firsts = bodies.where("doc_id = rep_id AND body <> ''").select(F.lit("all").alias("grp"), "doc_id", F.col("doc_id").alias("turn"), none.alias("sha256"), none.alias("source"), none.alias("publisher"), none.alias("upstream"))

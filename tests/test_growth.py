@@ -217,3 +217,15 @@ def test_common_items_are_counted_in_packed_rows(spark):
     rows = list(enumerate(near_sets(3, 50, 2)))
     packed = documents.packed_items(spark.createDataFrame(rows, "doc_id long, items array<long>").coalesce(1), 0.55, 64)
     assert packed.count() <= 65 and packed.selectExpr("sum(octet_length(codes))").first()[0] == 4 * sum(len(v) for _, v in rows)
+
+
+def test_rounds_are_kept_as_tables(spark, monkeypatch):
+    """Keys of pairs were written uncompressed, once more in every round."""
+    kept, hold = [], independence.held
+    monkeypatch.setattr(independence, "held", lambda df: kept.append(hold(df)) or kept[-1])
+    rows = [("g", k, k, None, None, None, None) for k in range(9)]
+    docs = spark.createDataFrame(rows, "grp string, doc_id long, turn long, sha256 string, source string, publisher string, upstream string")
+    similar = spark.createDataFrame([(k, k + 1, 0.6 + 0.3 * (k % 2)) for k in range(8)], "doc_a long, doc_b long, jaccard double")
+    got = {r["doc_id"]: (r["representative"], r["reason"]) for r in independence.independent_clusters(docs, similar).collect()}
+    assert got == {k: (k, None) if k % 2 == 0 else (k - 1, "heavy overlap") for k in range(9)}
+    assert kept and all(df.inputFiles() and all(f.endswith(".parquet") for f in df.inputFiles()) for df in kept)
